@@ -20,7 +20,7 @@ def may_hold_url(folded: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("."))
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+\z", "")
 
 
 def extract_host_array(text: Column) -> Column:
@@ -35,15 +35,16 @@ def _has_suffix(host: Column, suffixes) -> Column:
     return test
 
 
-def host_signals(host: Column, raw_host: Column, blocked: Column) -> Column:
+def host_signals(host: Column, raw_host: Column | None, blocked: Column) -> Column:
     """``struct(signals, reasons, code)`` of one host. A blocklisted host is
-    dangerous outright; two signals make it suspicious."""
+    dangerous outright; two signals make it suspicious. Without a ``raw_host`` the
+    host was extracted from text in compatibility form already."""
     free = host.isin(list(values.FREE_SUBDOMAIN_SUFFIXES)) | _has_suffix(
         host, ["." + s for s in values.FREE_SUBDOMAIN_SUFFIXES])
     tests = [
         (host.rlike(_IP), 2, "phish_ip_literal_host: ", host),
         (host.rlike(_PUNYCODE), 2, "phish_punycode_host: ", host),
-        (host != raw_host, 2, "phish_homoglyph_host: ", raw_host),
+        *([(host != raw_host, 2, "phish_homoglyph_host: ", raw_host)] if raw_host is not None else []),
         (_has_suffix(host, values.SUSPECT_TLDS), 1, "phish_suspect_tld: ", host),
         (free, 1, "phish_free_subdomain_host: ", host),
     ]

@@ -39,7 +39,7 @@ def _scan_padding(blob: Column) -> Column:
 
 def _data(blob: Column) -> Column:
     """The data characters a lenient decoder uses; NULL when the padding is wrong."""
-    bare = F.rtrim(blob, F.lit("="))
+    bare = F.regexp_replace(blob, r"=+\z", "")
     plain_len = F.length(bare)
     pads = F.length(blob) - plain_len
     plain = F.when(

@@ -68,9 +68,9 @@ def chunk_verdicts(df: DataFrame, *, stream: str, seq: str, text_col: str = "tex
     """``(stream, seq, code, action, reasons, matched)`` per chunk."""
     with_before = add_lookback(df, stream=stream, seq=seq, text_col=text_col, lookback=lookback, block=block,
                                unicode_forms=unicode_forms)
-    judged = judge_candidates(with_before, keep=[stream, seq, "_b"], unicode_forms=unicode_forms, **options)
-    # Grouped below the block: the rows already lie together, nothing moves.
-    best = judged.groupBy(stream, "_b", seq).agg(F.max_by("_v", F.struct(F.col("_v.code"), -F.col("_at"))).alias("_v"))
+    judged = judge_candidates(with_before, keep=[stream, seq], unicode_forms=unicode_forms, **options)
+    # Only verdicts are grouped here; the texts stay where they were judged.
+    best = judged.groupBy(stream, seq).agg(F.max_by("_v", F.struct(F.col("_v.code"), -F.col("_at"))).alias("_v"))
     return emit(best, [stream, seq], F.col("_v"))
 
 

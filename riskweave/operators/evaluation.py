@@ -29,6 +29,11 @@ def evaluate(verdicts: DataFrame, labels: DataFrame, *, keys: list[str], by: lis
     """Confusion counts and scores of ``code`` against ``expected``; with ``by`` per
     group and over all (NULL group)."""
     both = verdicts.select(*keys, "code").join(labels.select(*keys, "expected", *by), keys)
+    return evaluate_labelled(both, by=by)
+
+
+def evaluate_labelled(both: DataFrame, *, by: list[str] = ()) -> DataFrame:
+    """`evaluate` for rows that carry ``code`` and ``expected`` already."""
     both = both.withColumn("_o", outcome(F.col("code"), F.col("expected")))
     grouped = both.rollup(*by) if by else both.groupBy()
     return _scores(grouped.agg(

@@ -149,8 +149,7 @@ def blocked_verdict(judged: Column) -> Column:
 def _host_verdict(text: Column, folded: Column, blocklist: Blocklist) -> Column:
     """NULL when no host decides. An untrusted list makes every text reviewable."""
     def per_host(host):
-        # The text is in compatibility form already, so host and raw host agree.
-        return host_signals(host, host, host.isin(*sorted(blocklist.hosts)) if blocklist.hosts else F.lit(False))
+        return host_signals(host, None, host.isin(*sorted(blocklist.hosts)) if blocklist.hosts else F.lit(False))
 
     hosts = F.when(may_hold_url(folded), F.transform(extract_host_array(text), per_host)).otherwise(
         F.array().cast("array<struct<signals:int,reasons:array<string>,code:int>>"))

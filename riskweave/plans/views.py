@@ -12,8 +12,11 @@ from ..tables import contexts as values
 from . import payloads
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, *, streaming: bool = False) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if streaming:
+        return spark.readStream.schema(df.schema).option("pathGlobFilter", f"{name}.parquet*").parquet(sf_dir)
+    return df
 
 
 def _pick(items, key: Column, modulus: int) -> Column:
@@ -36,8 +39,8 @@ def planted_documents(spark, sf_dir) -> DataFrame:
         F.coalesce(_pick([str(c) for c in codes], key, payloads.TEXT_MODULUS), F.lit("0")).cast("int").alias("expected"))
 
 
-def planted_turns(spark, sf_dir) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+def planted_turns(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", streaming=streaming)
     payload = _pick([p[2] for p in payloads.TEXT_PAYLOADS], F.col("conv_id") * 31 + F.col("turn"), payloads.TEXT_MODULUS)
     return turns.select("conv_id", "turn", "role", _appended(F.col("text"), payload).alias("text"))
 
@@ -64,21 +67,21 @@ def file_tree(spark, sf_dir) -> DataFrame:
         (_pick([str(p[1]) for p in payloads.LINE_PAYLOADS], key, payloads.LINE_MODULUS) == "True").alias("should_block"))
 
 
-def guard_events(spark, sf_dir) -> DataFrame:
+def guard_events(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
     """Events as guard events: errors are dangerous, purchases suspicious."""
     kind = F.col("event_type")
     verdict = F.when(kind == "error", "DANGEROUS").when(kind == "purchase", "SUSPICIOUS").otherwise("SAFE")
-    return table(spark, sf_dir, "events").select(
-        "event_id", "ts", F.concat(F.lit("log-"), (F.col("user_id") % 4).cast("string")).alias("log"),
+    return table(spark, sf_dir, "events", streaming=streaming).select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("log-"), (F.col("user_id") % 4).cast("string")).alias("log"),
         kind.alias("command"), verdict.alias("verdict"), F.array(kind).alias("reasons"),
         kind.isin("error", "view").alias("is_chat"),
         ((kind == "signup") & (F.col("event_id") % 50 == 0)).alias("is_reset"))
 
 
-def chunk_table(spark, sf_dir) -> DataFrame:
+def chunk_table(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
     """Conversations as chunk streams; some payloads are cut over two turns."""
     n = len(payloads.SPLIT_PAYLOADS)
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", streaming=streaming)
     # Two adjacent turns of a stream share a slot: the even one gets the left half.
     slot = F.col("conv_id") + F.floor(F.col("turn") / 2)
     halves = [_pick([p[side] for p in payloads.SPLIT_PAYLOADS], slot, 2 * n + 1) for side in (0, 1)]
@@ -110,7 +113,7 @@ def sarif_documents(spark, sf_dir) -> DataFrame:
     by_score = F.when(part % 3 == 0, F.create_map(F.lit("security-severity"), (F.col("l_quantity") / 5).cast("decimal(6,1)").cast("string")))
     result = F.struct(
         rule_id.alias("ruleId"), level.alias("level"),
-        F.struct(F.concat(F.lit("ships by "), "l_shipmode").alias("text")).alias("message"),
+        F.struct(F.concat(F.lit("ships by "), "l_returnflag").alias("text")).alias("message"),
         by_score.alias("properties"),
         F.when(part % 4 == 0, F.create_map(F.lit("primary"), F.concat(F.lit("fp-"), part.cast("string")))).alias("partialFingerprints"),
         F.when(part % 7 != 0, F.array(F.struct(F.struct(
@@ -118,13 +121,15 @@ def sarif_documents(spark, sf_dir) -> DataFrame:
             F.struct(F.col("l_suppkey").cast("int").alias("startLine")).alias("region")).alias("physicalLocation")))).alias("locations"))
     # An order has a handful of line items, so this group is small for every key.
     grouped = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
-        F.struct("l_linenumber", result.alias("result")))).alias("_r"))
+        F.struct("l_linenumber", F.to_json(result).alias("result")))).alias("_r"))
     rules = F.array(*[F.struct(
         F.lit(f"RULE{i}").alias("id"), F.struct(F.lit(f"Rule number {i}").alias("text")).alias("shortDescription"),
         F.create_map(F.lit("severity"), F.lit(values.SEVERITIES[i % 6])).alias("properties")) for i in range(0, 40, 2)])
-    run = F.struct(F.struct(F.struct(rules.alias("rules")).alias("driver")).alias("tool"),
-                   F.transform("_r", lambda r: r.result).alias("results"))
-    return grouped.select("l_orderkey", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    tool = F.to_json(F.struct(F.struct(rules.alias("rules")).alias("driver")))
+    document = F.concat(
+        F.lit('{"version":"2.1.0","runs":[{"tool":'), tool, F.lit(',"results":['),
+        F.array_join(F.transform("_r", lambda r: r.result), ","), F.lit("]}]}"))
+    return grouped.select("l_orderkey", document.alias("document"))
 
 
 def baseline_snapshot(spark, sf_dir) -> DataFrame:
