@@ -20,7 +20,9 @@ def split_lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+    edge = rf"[{SPACE_CLASS}]"
+    padded = F.left(text, F.lit(1)).rlike(edge) | F.right(text, F.lit(1)).rlike(edge)
+    return F.when(padded, F.regexp_replace(text, rf"^{edge}+|{edge}+\z", "")).otherwise(text)
 
 
 def extension(path: Column) -> Column:

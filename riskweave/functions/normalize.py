@@ -34,10 +34,11 @@ def _wide(chars: str) -> str:
 
 INVISIBLE = _wide(r"\u200b\u200c\u200d\u200e\u200f\u202a-\u202e\u2060\u2066-\u2069\ufeff")
 WIDE_SPACE = _wide(r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
-SPACE_RUN = r"[\t-\r\x1c-\x20]{2,}|[\t-\r\x1c-\x1f]"
+# The look-ahead turns most characters away with one range test.
+SPACE_RUN = r"(?=[\x00-\x20])(?:[\t-\r\x1c-\x20]{2,}|[\t-\r\x1c-\x1f])"
 # JavaScript's white space differs: no U+001C..U+001F and no U+0085.
 JS_WIDE_SPACE = _wide(r"\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
-JS_SPACE_RUN = r"[\t-\r ]{2,}|[\t-\r]"
+JS_SPACE_RUN = r"(?=[\x00-\x20])(?:[\t-\r ]{2,}|[\t-\r])"
 
 
 @F.pandas_udf(T.StringType())
@@ -45,11 +46,15 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
 
 
-def nfkc(text: Column) -> Column:
+def _wide(_: Column) -> Column:
+    return F.col("_wide")
+
+
+def nfkc(text: Column, wide: Column | None = None) -> Column:
     """NFKC. Spark has no built-in for it, so texts that may change pass through
     an Arrow batch; all others are sent as nulls and taken over unchanged."""
     # The long class is tried on non-ASCII characters only.
-    risky = _non_ascii(text) & text.rlike(rf"[^\x00-\x7f](?<![{NFKC_STABLE}])")
+    risky = (non_ascii(text) if wide is None else wide) & text.rlike(rf"[^\x00-\x7f](?<![{NFKC_STABLE}])")
     return F.coalesce(_nfkc(F.when(risky, text)), text)
 
 
@@ -74,34 +79,37 @@ def _steps(df: DataFrame, column: str, steps) -> DataFrame:
     return df
 
 
-def _non_ascii(text: Column) -> Column:
+def non_ascii(text: Column) -> Column:
     return F.octet_length(text) != F.char_length(text)
 
 
 def normalize_corpus(df: DataFrame, text_col: str, out_col: str = "norm", *, unicode_forms: bool = True) -> DataFrame:
     """Adds ``out_col``: the text without the spellings that hide a command."""
-    start = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.withColumn(out_col, start)
+    df = df.withColumn(out_col, F.coalesce(F.col(text_col), F.lit("")))
+    # No step makes an ASCII text anything else, so this is looked up once.
+    df = df.withColumn("_wide", non_ascii(F.col(out_col)))
     if unicode_forms:
-        df = df.withColumn(out_col, nfkc(F.col(out_col)))
+        df = df.withColumn(out_col, nfkc(F.col(out_col), F.col("_wide")))
     return _steps(df, out_col, [
         (lambda t: F.contains(t, F.lit("\x1b[")), lambda t: F.regexp_replace(t, CSI, "")),
         (lambda t: F.contains(t, F.lit("\x1b]")), lambda t: F.regexp_replace(t, OSC, "")),
-        (_non_ascii, lambda t: F.regexp_replace(t, INVISIBLE, "")),
+        (_wide, lambda t: F.regexp_replace(t, INVISIBLE, "")),
         (lambda t: F.contains(t, F.lit("\b")), _resolve_backspaces),
-        (_non_ascii, lambda t: F.regexp_replace(t, WIDE_SPACE, " ")),
+        (_wide, lambda t: F.regexp_replace(t, WIDE_SPACE, " ")),
         (None, lambda t: F.trim(F.regexp_replace(t, SPACE_RUN, " "))),
-    ])
+    ]).drop("_wide")
 
 
 def normalize_pages(df: DataFrame, text_col: str, out_col: str = "norm") -> DataFrame:
     """The page profile's normalisation: no escape or backspace handling."""
-    df = df.withColumn(out_col, nfkc(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn(out_col, F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumn("_wide", non_ascii(F.col(out_col)))
+    df = df.withColumn(out_col, nfkc(F.col(out_col), F.col("_wide")))
     return _steps(df, out_col, [
-        (_non_ascii, lambda t: F.regexp_replace(t, INVISIBLE, "")),
-        (_non_ascii, lambda t: F.regexp_replace(t, JS_WIDE_SPACE, " ")),
+        (_wide, lambda t: F.regexp_replace(t, INVISIBLE, "")),
+        (_wide, lambda t: F.regexp_replace(t, JS_WIDE_SPACE, " ")),
         (None, lambda t: F.trim(F.regexp_replace(t, JS_SPACE_RUN, " "))),
-    ])
+    ]).drop("_wide")
 
 
 _FLAGS = "(?idU)"
@@ -140,4 +148,4 @@ def fold(text: Column) -> Column:
     odd = F.lit(False)
     for letter in "\u0130\u0131\u017f\u0307":
         odd = odd | F.contains(text, F.lit(letter))
-    return F.when(_non_ascii(text) & odd, F.translate(low, "\u0131\u017f\u0307", "is")).otherwise(low)
+    return F.when(non_ascii(text) & odd, F.translate(low, "\u0131\u017f\u0307", "is")).otherwise(low)

@@ -63,7 +63,7 @@ def _line_rows(df: DataFrame, keys: list[str], path_col: str, content_col: str,
     df = df.withColumn("_body", F.array_join("_lines", "\n")).withColumn("_bfold", fold(F.col("_body")))
     df = df.withColumns({
         "_fences": F.when(F.col("_md"), F.array_compact(F.transform(
-            "_lines", lambda text, i: F.when(strip(text).startswith("```"), i + 1)))
+            "_lines", lambda text, i: F.when(F.contains(text, F.lit("```")) & strip(text).startswith("```"), i + 1)))
         ).otherwise(F.expr("cast(array() as array<int>)")),
         "_cross": _cross_line(F.col("_body"), F.col("_bfold")),
     })

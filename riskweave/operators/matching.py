@@ -3,8 +3,9 @@
 The rules of a book are unrolled into one projection. A rule's regex runs only
 if the text holds the literals the rule cannot match without. A small set of
 words that covers every rule is searched once per text (byte searches on the
-folded text); a rule's further literals are searched only when its first ones
-were found. Spans are cut out afterwards, for hits only, by a pattern looked up
+folded text), and only in texts that hold one of a few symbols or of the words of
+the rules without a symbol; a rule's further literals are searched only when its
+first ones were found. Spans are cut out afterwards, for hits only, by a pattern looked up
 per hit.
 """
 
@@ -25,25 +26,34 @@ def _rank(group: Group):
     return (-min(len(word) for word in group) / len(group) ** 0.5, group)
 
 
+# Words too common in prose to tell texts apart; used only if a rule has no others.
+_COMMON = frozenset(
+    "the this with into inside in to it me you us him her run put type enter get open start mode system text code "
+    "key page link site post send box field".split())
+
+
 def _cover(rules: list[list[Group]]) -> list[str]:
     """Few words such that every guarded rule has a group made of them."""
     words: set[str] = set()
+
+    def covered(groups):
+        return any(set(group) <= words for group in groups)
+
+    def gain(group):
+        fresh = len(set(group) - words)
+        return (sum(group in groups for groups in open_rules) / fresh, min(map(len, group)), group)
+
     open_rules = [groups for groups in rules if groups]
     while open_rules:
-        def gain(group):
-            fresh = len(set(group) - words)
-            covered = sum(group in groups for groups in open_rules)
-            return (covered / max(fresh, 0.5), min(map(len, group)), group)
-
-        strong = {g for groups in open_rules for g in groups if min(map(len, g)) >= 3}
-        choice = max(strong or {g for groups in open_rules for g in groups}, key=gain)
-        words.update(choice)
-        open_rules = [groups for groups in open_rules if choice not in groups]
+        every = {group for groups in open_rules for group in groups}
+        strong = {group for group in every if not _COMMON & set(group) and min(map(len, group)) >= 3}
+        words.update(max(strong or every, key=gain))
+        open_rules = [groups for groups in open_rules if not covered(groups)]
     return sorted(words)
 
 
 class GuardedRules:
-    """Sections of rules behind one shared set of word tests."""
+    """Sections of rules behind one shared set of words."""
 
     def __init__(self, sections: dict[str, list[str]], *, to_java=python_to_java, guarded: bool = True):
         self.java = {name: [to_java(p) for p in patterns] for name, patterns in sections.items()}
@@ -55,9 +65,12 @@ class GuardedRules:
         self._slot = {word: i for i, word in enumerate(self.words)}
 
     def word_tests(self, folded: str) -> Column:
-        """One boolean per shared word of the folded text in column ``folded``."""
+        """One boolean per shared word of the folded text in column ``folded``; NULL
+        for a text without any, which no guarded rule can match."""
+        if not self.words:
+            return F.expr("cast(null as array<boolean>)")
         tests = [f"contains({folded}, {sql_text(word)})" for word in self.words]
-        return F.expr(f"array({', '.join(tests) or 'true'})")
+        return F.expr(f"CASE WHEN {' OR '.join(tests)} THEN array({', '.join(tests)}) END")
 
     def _any(self, group: Group, folded: str, found: str) -> str:
         return "(" + " OR ".join(
@@ -72,19 +85,24 @@ class GuardedRules:
         guards = [self._any(group, folded, found) for group in known + rest]
         return " AND ".join([*guards, f"rlike({text}, {sql_text(self.java[name][i])})"])
 
+    def _skip(self, name: str, found: str) -> str:
+        """The condition under which no rule of the section can match."""
+        return f"{found} IS NULL" if all(self._groups[name]) else "false"
+
     # The unrolled rules are thousands of nodes, so they are written as SQL text
     # and parsed once instead of being built call by call.
     def hits(self, name: str, text: str, folded: str, found: str) -> Column:
         """Positions (from 1) of the rules that match column ``text``, ascending."""
-        tests = [f"CASE WHEN {self._test(name, i, text, folded, found)} THEN {i + 1} END"
+        tests = [f"CASE WHEN {self._test(name, i, text, folded, found)} THEN {i + 1} ELSE 0 END"
                  for i in range(len(self.java[name]))]
-        return F.expr(f"array_compact(array({', '.join(tests)}))")
+        return F.expr(f"CASE WHEN {self._skip(name, found)} THEN cast(array() as array<int>) "
+                      f"ELSE array_remove(array({', '.join(tests)}), 0) END")
 
     def first(self, name: str, values: list[str], text: str, folded: str, found: str) -> Column:
         """The value of the first rule that matches; later rules are not tried."""
         tests = [f"WHEN {self._test(name, i, text, folded, found)} THEN {sql_text(value)}"
                  for i, value in enumerate(values)]
-        return F.expr(f"CASE {' '.join(tests)} END")
+        return F.expr(f"CASE WHEN {self._skip(name, found)} THEN NULL {' '.join(tests)} END")
 
 
 def sql_text(value: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import literal_array
+from ..sources.readers import spread_small
 from ..tables import contexts as values
 from . import payloads
 
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *, streaming: bool = Fals
     return df
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, name))
+
+
 def _pick(items, key: Column, modulus: int) -> Column:
     """The item the key selects, NULL for the keys past the end of the list."""
     return F.get(literal_array(items), (key % modulus).cast("int"))
@@ -30,17 +35,17 @@ def _appended(text: Column, payload: Column) -> Column:
 
 def planted_documents(spark, sf_dir) -> DataFrame:
     """Documents with ``text, category, expected`` after planting."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     key = F.col("doc_id")
-    texts, kinds, codes = ([p[i] for p in payloads.TEXT_PAYLOADS] for i in (2, 0, 1))
+    payload_texts, kinds, codes = ([p[i] for p in payloads.TEXT_PAYLOADS] for i in (2, 0, 1))
     return docs.select(
-        "doc_id", "lang", "source", _appended(F.col("text"), _pick(texts, key, payloads.TEXT_MODULUS)).alias("text"),
+        "doc_id", "lang", "source", _appended(F.col("text"), _pick(payload_texts, key, payloads.TEXT_MODULUS)).alias("text"),
         F.coalesce(_pick(kinds, key, payloads.TEXT_MODULUS), F.lit("none")).alias("category"),
         F.coalesce(_pick([str(c) for c in codes], key, payloads.TEXT_MODULUS), F.lit("0")).cast("int").alias("expected"))
 
 
 def planted_turns(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations", streaming=streaming)
+    turns = table(spark, sf_dir, "conversations", streaming=True) if streaming else texts(spark, sf_dir, "conversations")
     payload = _pick([p[2] for p in payloads.TEXT_PAYLOADS], F.col("conv_id") * 31 + F.col("turn"), payloads.TEXT_MODULUS)
     return turns.select("conv_id", "turn", "role", _appended(F.col("text"), payload).alias("text"))
 
@@ -48,14 +53,14 @@ def planted_turns(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
 def planted_pages(spark, sf_dir) -> DataFrame:
     payload = _pick(payloads.PAGE_PAYLOADS, F.col("page_id"), payloads.PAGE_MODULUS)
     script = F.concat(F.lit("<script>"), payload, F.lit("</script>"))
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id", "url", _appended(F.col("html"), script).alias("html"))
 
 
 def file_tree(spark, sf_dir) -> DataFrame:
     """Documents as files of a skill per source; markdown payloads are fenced for
     one id in seven."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     key = F.col("doc_id")
     ext = _pick(payloads.EXTENSIONS, key, len(payloads.EXTENSIONS))
     lines = _pick([p[2] for p in payloads.LINE_PAYLOADS], key, payloads.LINE_MODULUS)

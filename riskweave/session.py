@@ -15,6 +15,9 @@ def local_session(app: str = "riskweave", cpus: str | None = None) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The unrolled rules make long methods. Beyond this size HotSpot would not
+        # compile them, so such stages run operator by operator instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

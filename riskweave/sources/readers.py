@@ -10,6 +10,22 @@ from ..tables import contexts as values
 from ..tables import host_signals
 
 
+# Inputs below this size may be re-partitioned; larger ones keep their splits.
+SPREAD_BYTES = 2 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spreads a small input that comes in fewer files than there are cores, so that
+    row-local text work uses all of them. Anything larger is returned as it is:
+    shuffling texts costs more than it gains, and large inputs have splits enough."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if len(df.inputFiles()) >= cores or size > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def read_history(spark: SparkSession, path) -> DataFrame:
     """Text files whole, ``(path, text)``, for `scan_lines`. A missing path raises."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
