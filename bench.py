@@ -31,11 +31,17 @@ def rates(spark, sf_dir: str) -> dict[str, float]:
     from riskweave.operators import files, verdicts
     from riskweave.plans import views
 
-    cores = spark.sparkContext.defaultParallelism
-    docs = views.planted_documents(spark, sf_dir)
-    lines = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("n", "text")).persist()
-    tree = views.file_tree(spark, sf_dir).filter(files.scannable(F.col("path"))).persist()
-    n_docs, n_lines = docs.count(), lines.count()
+    cores, copies = spark.sparkContext.defaultParallelism, 4
+
+    def repeated(df):
+        df = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartition(cores * 4).persist()
+        df.count()
+        return df
+
+    docs = repeated(views.planted_documents(spark, sf_dir))
+    lines = repeated(views.planted_documents(spark, sf_dir).select(
+        "doc_id", F.posexplode(split_lines(F.col("text"))).alias("n", "text")))
+    tree = repeated(views.file_tree(spark, sf_dir).filter(files.scannable(F.col("path"))))
     tree_lines = tree.agg(F.sum(F.size(split_lines(F.col("content"))))).first()[0]
 
     def seconds(df):
@@ -44,12 +50,11 @@ def rates(spark, sf_dir: str) -> dict[str, float]:
         return time.time() - start
 
     out = {
-        "documents_per_s_core": n_docs / seconds(verdicts.classify_corpus(docs, keys=["doc_id"])) / cores,
-        "texts_per_s_core": n_lines / seconds(verdicts.classify_corpus(lines, keys=["doc_id", "n"])) / cores,
+        "documents_per_s_core": docs.count() / seconds(verdicts.classify_corpus(docs, keys=["doc_id"])) / cores,
+        "texts_per_s_core": lines.count() / seconds(verdicts.classify_corpus(lines, keys=["doc_id", "n"])) / cores,
         "scan_lines_per_s_core": tree_lines / seconds(files.scan_files(tree)) / cores,
+        "mean_line_chars": lines.agg(F.avg(F.length("text"))).first()[0],
     }
-    lines.unpersist()
-    tree.unpersist()
     return {k: round(v) for k, v in out.items()}
 
 

@@ -92,11 +92,15 @@ class GuardedRules:
     # The unrolled rules are thousands of nodes, so they are written as SQL text
     # and parsed once instead of being built call by call.
     def hits(self, name: str, text: str, folded: str, found: str) -> Column:
-        """Positions (from 1) of the rules that match column ``text``, ascending."""
-        tests = [f"CASE WHEN {self._test(name, i, text, folded, found)} THEN {i + 1} ELSE 0 END"
+        """Positions (from 1) of the rules that match column ``text``, ascending.
+
+        array_compact is a higher-order function, which keeps the projection out
+        of whole-stage code: all rules in one method would pass the JVM's limit.
+        """
+        tests = [f"CASE WHEN {self._test(name, i, text, folded, found)} THEN {i + 1} END"
                  for i in range(len(self.java[name]))]
         return F.expr(f"CASE WHEN {self._skip(name, found)} THEN cast(array() as array<int>) "
-                      f"ELSE array_remove(array({', '.join(tests)}), 0) END")
+                      f"ELSE array_compact(array({', '.join(tests)})) END")
 
     def first(self, name: str, values: list[str], text: str, folded: str, found: str) -> Column:
         """The value of the first rule that matches; later rules are not tried."""

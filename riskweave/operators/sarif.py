@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import emit, let
+from ..functions.common import let
 from ..tables import contexts as values
 
 # A message is an object in most documents and a bare string in some, so it is
@@ -32,9 +32,9 @@ def _named_severity(candidate: Column) -> Column:
     name = F.lower(candidate)
     # The cast would also take Java's type suffixes, as in 9d.
     score = F.when(~name.rlike("[0-9.][df]$"), F.trim(name).try_cast("double"))
-    return F.when(name.isin(*values.SEVERITIES), name).otherwise(let(score, lambda s: (
-        F.when(F.isnan(s), F.lit(None).cast("string")).when(s >= 9.0, "critical").when(s >= 7.0, "high")
-        .when(s >= 4.0, "medium").when(s > 0, "low"))))
+    return F.when(name.isNotNull(), F.when(name.isin(*values.SEVERITIES), name).when(F.isnan(score), F.lit(None))
+                  .when(score >= 9.0, "critical").when(score >= 7.0, "high")
+                  .when(score >= 4.0, "medium").when(score > 0, "low"))
 
 
 def severity(properties: Column, rule_properties: Column, level: Column) -> Column:
@@ -48,25 +48,45 @@ def severity(properties: Column, rule_properties: Column, level: Column) -> Colu
 
 
 def parse_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document") -> DataFrame:
-    """``(*keys, sarif, problem)``: parsed documents; ``problem`` tells what is wrong."""
-    parsed = F.from_json(F.col(json_col), SARIF_SCHEMA, {"mode": "PERMISSIVE"})
-    runs_kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(
-        F.try_parse_json(F.col(json_col)), "$.runs", "variant")), "^[A-Z]+", 0)
-    df = df.select(*keys, parsed.alias("sarif"), F.octet_length(json_col).alias("_bytes"), runs_kind.alias("_runs"))
+    """``(*keys, sarif, problem)``: parsed documents; ``problem`` tells what is wrong.
+    ``runs`` that are no array parse to NULL."""
+    df = df.select(*keys, F.octet_length(json_col).alias("_bytes"),
+                   F.from_json(F.col(json_col), SARIF_SCHEMA, {"mode": "PERMISSIVE"}).alias("sarif"))
+    findings = F.aggregate("sarif.runs", F.lit(0), lambda n, run: n + F.greatest(F.size(run.results), F.lit(0)))
     return df.select(*keys, "sarif", (
         F.when(F.col("_bytes") > values.MAX_SARIF_BYTES, "document exceeds the size limit")
-        .when((F.coalesce("sarif.version", F.lit("")) != "2.1.0") | (F.coalesce("_runs", F.lit("")) != "ARRAY"),
+        .when((F.coalesce("sarif.version", F.lit("")) != "2.1.0") | F.col("sarif.runs").isNull(),
               "expected a 2.1.0 document with a runs array")
-        .when(F.aggregate(F.coalesce("sarif.runs", F.expr("array()")), F.lit(0), lambda n, run: n + F.coalesce(F.size(run.results), F.lit(0)))
-              > values.MAX_SARIF_FINDINGS, "document has too many findings")).alias("problem"))
+        .when(findings > values.MAX_SARIF_FINDINGS, "document has too many findings")).alias("problem"))
+
+
+def _results_with_rules(run: Column) -> Column:
+    """The results of a run, each with the metadata of its rule; of two rules with
+    one id the last counts."""
+    rules = F.reverse(F.filter(run.tool.driver.rules, lambda r: F.coalesce(r.id, F.lit("")) != ""))
+
+    def paired(rs):
+        def pair(ids):
+            def one(result):
+                at = F.array_position(ids, F.coalesce(_filled(result.ruleId), F.lit("unknown")))
+                return F.struct(result.alias("result"), F.when(at > 0, F.get(rs, (at - 1).cast("int"))).alias("rule"))
+            return F.transform(F.filter(run.results, lambda r: r.isNotNull()), one)
+        return let(F.transform(rs, lambda r: r.id), pair)
+
+    return F.when(rules.isNotNull(), let(rules, paired)).otherwise(F.transform(
+        F.filter(run.results, lambda r: r.isNotNull()),
+        lambda result: F.struct(result.alias("result"), F.lit(None).cast(_RULE_TYPE).alias("rule"))))
+
+
+_RULE_TYPE = "struct<id: string, shortDescription: struct<text: string>, properties: map<string,string>>"
 
 
 def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", strict: bool = True) -> DataFrame:
     """``(*keys, pos, id, title, severity, message, path, line, fingerprint)``.
 
-    Rule metadata is looked up inside its run, the last of two rules with one id
-    counts. Invalid documents raise; ``strict=False`` leaves them out, see
-    `parse_sarif` for the reasons.
+    Only the rule lookup happens inside the document; results leave it in one
+    Generate and are worked out as plain columns. Invalid documents raise;
+    ``strict=False`` leaves them out, see `parse_sarif` for the reasons.
     """
     parsed = parse_sarif(df, keys=keys, json_col=json_col)
     if strict:
@@ -74,34 +94,24 @@ def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document
             F.raise_error(F.concat(F.lit("invalid SARIF: "), F.col("problem"))).cast(parsed.schema["sarif"].dataType)))
     else:
         parsed = parsed.filter(F.col("problem").isNull())
-
-    def finding(result, rules, rule_ids):
-        rule_id = F.coalesce(_filled(result.ruleId), F.lit("unknown"))
-        at = F.array_position(rule_ids, rule_id)
-        rule = F.when(at > 0, F.get(rules, (at - 1).cast("int")))
-        is_object = F.ltrim(result.message).startswith("{")
-        inner = F.get_json_object(result.message, "$.text")
-        message = F.left(F.coalesce(F.when(is_object, inner).otherwise(result.message), F.lit("")), F.lit(values.MAX_MESSAGE_CHARS))
-        place = F.get(result.locations, F.lit(0)).physicalLocation
-        path, line = _filled(place.artifactLocation.uri), place.region.startLine
-        none = F.lit("None")
-        material = F.concat_ws("\0", rule_id, F.coalesce(path, none), F.coalesce(line.cast("string"), none), message)
-        first_print = _filled(F.get(F.map_values(result.partialFingerprints), F.lit(0)))
-        return F.struct(
-            rule_id.alias("id"), F.coalesce(_filled(rule.shortDescription.text), rule_id).alias("title"),
-            severity(result.properties, rule.properties, result.level).alias("severity"), message.alias("message"),
-            path.alias("path"), line.alias("line"),
-            F.coalesce(first_print, F.left(F.sha2(material, 256), F.lit(24))).alias("fingerprint"))
-
-    def of_run(run):
-        # Newest first, so the first position of an id is its last definition.
-        rules = F.reverse(F.filter(run.tool.driver.rules, lambda r: F.coalesce(r.id, F.lit("")) != ""))
-        return let(rules, lambda rs: let(F.transform(rs, lambda r: r.id), lambda ids: F.transform(
-            F.filter(run.results, lambda r: r.isNotNull()), lambda result: finding(result, rs, ids))))
-
-    per_run = F.transform(F.filter("sarif.runs", lambda run: run.isNotNull()), of_run)
-    findings = F.flatten(F.filter(per_run, lambda f: f.isNotNull()))
-    return parsed.select(*keys, F.posexplode(findings).alias("pos", "_f")).select(*keys, "pos", "_f.*")
+    per_run = F.transform(F.filter("sarif.runs", lambda run: run.isNotNull()), _results_with_rules)
+    rows = parsed.select(*keys, F.posexplode(F.flatten(F.filter(per_run, lambda f: f.isNotNull()))).alias("pos", "_f"))
+
+    result, rule = F.col("_f.result"), F.col("_f.rule")
+    rule_id = F.coalesce(_filled(result.ruleId), F.lit("unknown"))
+    is_object = F.ltrim(result.message).startswith("{")
+    text = F.when(is_object, F.get_json_object(result.message, "$.text")).otherwise(result.message)
+    place = F.get(result.locations, F.lit(0)).physicalLocation
+    rows = rows.select(
+        *keys, "pos", rule_id.alias("id"), F.coalesce(_filled(rule.shortDescription.text), rule_id).alias("title"),
+        severity(result.properties, rule.properties, result.level).alias("severity"),
+        F.left(F.coalesce(text, F.lit("")), F.lit(values.MAX_MESSAGE_CHARS)).alias("message"),
+        _filled(place.artifactLocation.uri).alias("path"), place.region.startLine.alias("line"),
+        _filled(F.get(F.map_values(result.partialFingerprints), F.lit(0))).alias("_given"))
+    none = F.lit("None")
+    material = F.concat_ws("\0", "id", F.coalesce("path", none), F.coalesce(F.col("line").cast("string"), none), "message")
+    fingerprint = F.coalesce("_given", F.left(F.sha2(material, 256), F.lit(24)))
+    return rows.select(*keys, "pos", "id", "title", "severity", "message", "path", "line", fingerprint.alias("fingerprint"))
 
 
 def sorted_findings(findings: DataFrame, *, keys: list[str]) -> DataFrame:
