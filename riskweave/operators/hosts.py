@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import emit
 from ..functions.hosts import extract_host_array, host_signals, may_hold_url
-from ..functions.normalize import fold, nfkc
+from ..functions.normalize import canonicalize_shell, fold, nfkc, normalize_corpus
 from ..tables import contexts as values
-from .verdicts import MAX_INLINE_HOSTS, Blocklist, seed_blocklist
+from .verdicts import MAX_INLINE_HOSTS, VERDICT_TYPE, Blocklist, add_verdict, seed_blocklist, verdict
 
 
 def extract_hosts(df: DataFrame, *, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row per URL: ``(*keys, pos, raw_host)``, ``pos`` from 0 in text order."""
-    text = F.col("_text")
-    with_urls = df.select(*keys, F.col(text_col).alias("_text")).filter(may_hold_url(fold(text)))
-    return with_urls.select(*keys, F.posexplode(extract_host_array(text)).alias("pos", "raw_host"))
+    text = F.col(text_col)
+    # A condition inside the Generate, not a filter: a filter on a computed text
+    # would be pushed below the projections that compute it, copying them.
+    df = df.select(*keys, text.alias("_text"), fold(text).alias("_fold"))
+    found = F.when(may_hold_url(F.col("_fold")), extract_host_array(F.col("_text")))
+    return df.select(*keys, F.posexplode(found).alias("pos", "raw_host"))
 
 
 def score_hosts(hosts: DataFrame, blocklist: Blocklist | DataFrame | None = None) -> DataFrame:
@@ -66,6 +70,24 @@ def host_verdicts(scored: DataFrame, *, keys: list[str], trusted: bool = True) -
     return per_text.select(*keys, code.alias("code"), reasons.alias("reasons"))
 
 
+def classify_with_blocklist(df: DataFrame, blocklist: DataFrame, *, keys: list[str], text_col: str = "text",
+                            **options) -> DataFrame:
+    """`classify_corpus` with a blocklist table of any size; ``keys`` must be unique.
+
+    Texts are judged without hosts where they lie. Only hosts and verdicts, both
+    narrow, are joined by key afterwards; texts never move.
+    """
+    texts = df.select(*keys, F.col(text_col).alias("_text"))
+    base = add_verdict(texts, "_text", "_v", host_stage=False, settled_col="_settled", **options).drop("_text")
+    norm = canonicalize_shell(normalize_corpus(texts, "_text", "_text"), "_text")
+    found = host_verdicts(score_hosts(extract_hosts(norm, keys=keys, text_col="_text"), blocklist), keys=keys)
+    found = found.filter("code > 0").select(*keys, F.col("code").alias("_code"), F.col("reasons").alias("_reasons"))
+    by_host = F.when(F.col("_code") == 2, verdict(2, F.col("_reasons"))).otherwise(verdict(1, F.col("_reasons")))
+    joined = base.join(found, keys, "left")
+    return emit(joined, keys, F.when(~F.col("_settled") & F.col("_code").isNotNull(), by_host)
+                .otherwise(F.col("_v")).cast(VERDICT_TYPE))
+
+
 def blocklist_status(blocklist: DataFrame, sha256: str) -> DataFrame:
     """One row ``(hosts, ok)``: size and digest check of a host table.
 

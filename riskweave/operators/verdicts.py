@@ -27,7 +27,7 @@ from .rules import RuleBook, default_rules
 
 VERDICT_TYPE = "struct<code:int,action:string,reasons:array<string>,matched:string>"
 # Blocklists up to this many hosts become a hash set inside the plan; larger
-# ones are joined, see `operators.hosts.host_verdicts_joined`.
+# ones are joined, see `operators.hosts.classify_with_blocklist`.
 MAX_INLINE_HOSTS = 20_000
 
 NO_HITS = "cast(array() as array<struct<rule_id:string,matched:string,why:string>>)"
@@ -53,7 +53,7 @@ def host_digest(hosts) -> str:
 def pinned_blocklist(hosts, sha256: str) -> Blocklist:
     hosts = frozenset(host.lower() for host in hosts)
     if len(hosts) > MAX_INLINE_HOSTS:
-        raise ValueError(f"more than {MAX_INLINE_HOSTS} hosts: join them with host_verdicts_joined")
+        raise ValueError(f"more than {MAX_INLINE_HOSTS} hosts: use classify_with_blocklist")
     return Blocklist(hosts, bool(sha256) and host_digest(hosts) == sha256)
 
 
@@ -177,10 +177,11 @@ def _decoded_verdict(decoded: Column, judged: Column) -> Column:
 def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict", *,
                 rules: RuleBook | None = None, blocklist: Blocklist | None = None,
                 host_stage: bool = True, max_bytes: int | None = None, strict_installer: bool = False,
-                unicode_forms: bool = True, guarded: bool = True) -> DataFrame:
+                unicode_forms: bool = True, guarded: bool = True, settled_col: str | None = None) -> DataFrame:
     """Adds ``out_col`` with the verdict struct of ``text_col``; keeps all columns.
 
     ``max_bytes`` makes longer texts dangerous without looking at them.
+    ``settled_col`` adds whether a stage before the host stage decided.
     """
     rules = rules or default_rules()
     blocklist = seed_blocklist() if blocklist is None else blocklist
@@ -208,6 +209,10 @@ def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict",
         F.when(F.col("_spam").isNotNull(), verdict(2, F.array(F.concat(F.lit("bounty_spam: "), F.col("_spam"))))),
         blocked_verdict(F.col("_judged")),
     )).drop("_spam", "_judged")
+    settled = []
+    if settled_col:
+        df = df.withColumn("_settled", F.col("_early").isNotNull())
+        settled = [F.col("_settled").alias(settled_col)]
     if host_stage:
         df = df.withColumn("_early", F.coalesce(
             F.col("_early"), F.when(text != "", _host_verdict(text, folded, blocklist))))
@@ -230,7 +235,7 @@ def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict",
     if max_bytes is not None:
         result = F.when(F.octet_length(text_col) > max_bytes,
                         verdict(2, F.array(F.lit(values.TOO_LARGE_REASON)))).otherwise(result)
-    return df.select(*keep, result.cast(VERDICT_TYPE).alias(out_col))
+    return df.select(*keep, result.cast(VERDICT_TYPE).alias(out_col), *settled)
 
 
 def classify_corpus(df: DataFrame, *, keys: list[str], text_col: str = "text", **options) -> DataFrame:

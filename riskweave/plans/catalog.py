@@ -109,6 +109,11 @@ def blocklist_hits(spark, sf):
     return scored.filter("blocked").select("page_id", "pos", "host")
 
 
+def verdicts_joined_blocklist(spark, sf):
+    listed, _ = _seed_table(spark)
+    return _joined(hosts.classify_with_blocklist(views.planted_documents(spark, sf), listed, keys=["doc_id"]))
+
+
 def _seed_table(spark):
     from ..sources.readers import read_blocklist
     return read_blocklist(spark)
@@ -337,6 +342,7 @@ def queries() -> dict[str, Query]:
         verdicts_documents, verdict_counts_by_lang, guard_envelopes, findings_all_rules, top_rules_by_source,
         risky_lines, risky_line_summary, decoded_payloads, document_lines,
         hosts_extracted, page_url_hosts, host_signals, host_verdicts, blocklist_hits,
+        verdicts_joined_blocklist,
         conversation_audit, conversation_audit_rollup, chat_json_flatten, chat_strict_content, chat_export,
         page_verdicts, profile_parity,
         line_findings, skill_rollup, sweep_summary, gate_refusals, refusal_report, secret_literals, recall_by_family,

@@ -575,6 +575,7 @@ def oracle_sql() -> dict[str, str]:
                         "code::INT AS code FROM scored",
         "host_verdicts": f"{document_hosts} SELECT doc_id, code::INT AS code, {_JOINED} FROM hostv",
         "blocklist_hits": f"{page_hosts} SELECT page_id, pos::INT AS pos, host FROM scored WHERE listed",
+        "verdicts_joined_blocklist": _documents(f"SELECT doc_id, {verdict_cols} FROM v_verdict"),
         "conversation_audit": _turns(f"SELECT {audit}, {_JOINED} FROM v_verdict"),
         "conversation_audit_rollup": _turns(
             "SELECT conv_id, count(*) AS scanned, count(*) FILTER (code > 0) AS flagged, max(code) AS highest_code "
