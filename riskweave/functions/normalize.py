@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import let
+
 # Code points that NFKC neither changes nor joins with a neighbour. A text made
 # of these alone is already normalised; `tests/test_normalize.py` proves it.
 NFKC_STABLE = (
@@ -71,12 +73,16 @@ def _resolve_backspaces(text: Column) -> Column:
 
 
 def _steps(df: DataFrame, column: str, steps) -> DataFrame:
-    # One projection per step: the guard reads the column twice, and a step that
-    # is read twice is not merged into its reader.
+    # Each step reads the text before it once, so the steps stay linear in size when
+    # the optimizer merges them, or copies them into a filter on the result.
+    text = F.col(column)
     for guard, step in steps:
-        text = F.col(column)
-        df = df.withColumn(column, step(text) if guard is None else F.when(guard(text), step(text)).otherwise(text))
-    return df
+        text = step(text) if guard is None else let(text, _guarded(guard, step))
+    return df.withColumn(column, text)
+
+
+def _guarded(guard, step):
+    return lambda text: F.when(guard(text), step(text)).otherwise(text)
 
 
 def non_ascii(text: Column) -> Column:
