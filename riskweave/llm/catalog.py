@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, quality_rules
+from . import decontaminate, host_reputation, license_scan, line_dedup, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        line_dedup.op1_line_dedup, license_scan.op7_license_scan, quality_rules.op8_quality_rules, decontaminate.op10_decontaminate)}
+        line_dedup.op1_line_dedup, sharding.op3_sharding, packing.op4_packing, host_reputation.op6_host_reputation,
+        license_scan.op7_license_scan, quality_rules.op8_quality_rules, decontaminate.op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_host_reputation": host_reputation.ORACLE_SQL,
         "op7_license_scan": license_scan.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
