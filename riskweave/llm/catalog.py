@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_reputation, license_scan, line_dedup, packing, quality_rules, sharding
+from . import decontaminate, host_reputation, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        line_dedup.op1_line_dedup, sharding.op3_sharding, packing.op4_packing, host_reputation.op6_host_reputation,
-        license_scan.op7_license_scan, quality_rules.op8_quality_rules, decontaminate.op10_decontaminate)}
+        line_dedup.op1_line_dedup, sharding.op3_sharding, packing.op4_packing, ngram_join.op5_ngram_join,
+        host_reputation.op6_host_reputation, license_scan.op7_license_scan, quality_rules.op8_quality_rules, decontaminate.op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
