@@ -1,27 +1,48 @@
-"""The corpus pipeline: quality rules, line dedup, near copies, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Each stage takes the documents that its predecessor kept and returns documents with all their columns; the last
+returns the packed pieces. Documents that fail the quality rules go. Lines that repeat an earlier line go, and with
+them documents of which nothing is left. Of each class of near copies the document with the smallest id stays.
+Documents with a benchmark window go as a whole. NULL and empty texts fail the quality rules; repeated rows fold in
+the join stage. An empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm import common as c
-from riskweave.llm import decontaminate, line_dedup, quality_rules
+from riskweave.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, c.table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("decontaminate", benchmark)]
-ORACLE_SQL = None
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", good_documents),
+    ("line_dedup", new_lines),
+    ("ngram_join", one_of_each),
+    ("decontaminate", without_benchmark),
+    ("packing", packed),
+]
+ORACLE_SQL = None  # packing is no SQL; the tests compare each stage with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
