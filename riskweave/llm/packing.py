@@ -144,14 +144,15 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern of items: knapsack by dynamic programming over the capacity."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for w in range(1, capacity + 1):
-        best[w], choice[w] = best[w - 1], -1
-        n = int(np.searchsorted(sizes, w, side="right"))
-        if n:
-            gain = best[w - sizes[:n]] + values[:n]
-            i = int(np.argmax(gain))
-            if gain[i] > best[w] + 1e-12:
-                best[w], choice[w] = gain[i], i
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for w in range(int(sizes[0]), capacity + 1):
+        n = fitting[w]
+        gain = best[w - sizes[:n]] + values[:n]
+        i = gain.argmax()
+        if gain[i] > best[w - 1] + 1e-12:
+            best[w], choice[w] = gain[i], i
+        else:
+            best[w] = best[w - 1]
     pattern, w = np.zeros(len(sizes), np.int64), capacity
     while w > 0:
         if choice[w] < 0:
@@ -162,31 +163,41 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def patterns_for(demand: dict[int, int], capacity: int, gap: float = 1e-5) -> list[tuple[dict[int, int], int]]:
-    """Patterns (items per size) with how often each is used; together they hold exactly the demand."""
+def patterns_for(demand: dict[int, int], capacity: int, gap: float = 5e-4, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+    """Patterns (items per size) with how often each is used; together they hold exactly the demand.
+
+    Columns are generated until the best new pattern is worth less than 1 + gap sequences: then the program's value is
+    within that factor of the optimum. After `rounds` columns the patterns found so far are used; they hold the demand
+    as well.
+    """
     sizes = np.array(sorted(s for s, n in demand.items() if n), np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], float)
     basis = np.diag(capacity // sizes).astype(float)  # a column per pattern
-    x = need / np.diag(basis)
-    for _ in range(50 * len(sizes)):
-        duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        value, column = price(duals, sizes, capacity)
+    inverse, x = np.linalg.inv(basis), need / np.diag(basis)
+    for done in range(1, rounds):
+        value, column = price(inverse.sum(axis=0), sizes, capacity)  # the duals: each pattern costs one sequence
         if value <= 1 + gap:
             break
-        step = np.linalg.solve(basis, column.astype(float))
+        step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
-        x = x - ratio[out] * step
+        x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out]
         basis[:, out] = column
-        x = np.maximum(x, 0)
+        if done % 100:
+            inverse[out] /= step[out]
+            step[out] = 0
+            inverse -= np.outer(step, inverse[out])
+        else:  # afresh, so that rounding errors do not add up
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ need, 0)
     used = np.floor(x + 1e-7).astype(np.int64)
     columns = np.rint(basis).astype(np.int64)
     left = need.astype(np.int64) - columns @ used
     while (left < 0).any():  # rounding up by an epsilon went too far
-        worst = int(np.argmax((columns[int(np.argmin(left))] > 0) * used))
+        worst = int(np.argmax((columns[int(np.argmin(left))] > 0) * np.maximum(used, 0)))
         used[worst] -= 1
         left = left + columns[:, worst]
     out = [({int(s): int(a) for s, a in zip(sizes, columns[:, j]) if a}, int(used[j])) for j in range(len(sizes)) if used[j]]
