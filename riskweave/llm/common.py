@@ -81,6 +81,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For a materialised table of narrow rows: marked for broadcast if it is small enough, counted first; a larger
+    one is left to Spark's shuffle joins."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = 200_000) -> DataFrame:
     """Numbers the rows of each key from 0 without gaps, however many rows a key has.
 

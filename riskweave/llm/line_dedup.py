@@ -11,9 +11,11 @@ is the other. Variants are hashed (128 bits); per variant only the earliest line
 so a variant that many lines share makes one row per line, never pairs. Each line's earliest partner is verified word
 by word.
 
-Lines without a possible partner make no variants. Of two lines within one word, the first or the last h words agree,
-h being the largest power of two under half the shorter line: only lines whose h first or last words also begin or end
-another line go on. No pair is lost by this.
+Lines without a possible partner make no variants. Lines of n words have the tags n / 2, rounded down and up; lines
+within one word of each other share a tag t, and the first or the last t - 1 words of both agree. Only lines that
+share a tag and such an end with another line go on. No pair is lost by this.
+
+Small intermediate tables (counted first) are broadcast, larger ones are joined by shuffle.
 
 Defined cases: NULL texts stay NULL. Empty texts stay. Documents whose lines of words are all removed are left out by
 `dedup_lines` (each of their lines stands elsewhere) unless `keep_empty`. Rows that agree in id and text count as one
@@ -29,24 +31,21 @@ from . import common as c
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
-BROADCAST_LINES = 500_000
-
-
-def _halves(n: Column) -> Column:
-    """Largest power of two that is at most (n - 1) / 2."""
-    return F.pow(F.lit(2), F.floor(F.log2((n - 1) / 2))).cast("int")
+GONE_LINES = 1_000_000
 
 
-def _hash(words: Column, *more: Column) -> Column:
-    return F.struct(F.xxhash64(words, *more).alias("a"), F.xxhash64(F.lit(7), words, *more).alias("b"))
+def _hash(words: Column, *more: Column) -> list[Column]:
+    return [F.xxhash64(words, *more).alias("_v"), F.xxhash64(F.lit(7), words, *more).alias("_w")]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
+    return docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
 
 
-def _place() -> Column:
-    return F.struct(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("_no").alias("no"))
+def _order() -> Column:
+    """A line's place as one number: document id (NULL first), 31 bits of the text's hash, line number."""
+    return F.expr("cast(cast(coalesce(_id, -9223372036854775807 - 1) as decimal(19,0)) * 4611686018427387904BD as decimal(38,0))"
+                  " + cast((_key & 2147483647) * 2147483648 + _no as decimal(19,0))").cast("decimal(38,0)")
 
 
 def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,73 +54,71 @@ def line_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     words = c.settled(lines.select("_id", "_key", "_no", c.plain_words(F.col("_line")).alias("_words"))).where(F.size("_words") >= MIN_WORDS)
     n = F.size("_words")
 
-    def ends(h: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("first"), F.slice("_words", 1, h)), F.xxhash64(F.lit("last"), F.slice("_words", -h, h))]
+    def ends(tag: Column) -> list[Column]:
+        return [F.xxhash64(F.lit("first"), tag, F.slice("_words", 1, tag - 1)), F.xxhash64(F.lit("last"), tag, F.slice("_words", 1 - tag, tag - 1))]
 
-    keys = F.when(n >= NEAR_WORDS, F.array_distinct(F.array(*ends(_halves(n)), *ends(_halves(n - 1)))))
-    return words.select("_id", "_key", "_no", c.text_key(F.concat_ws(" ", "_words")).alias("_line"), keys.alias("_ends"))
+    low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
+    keys = F.when(n >= NEAR_WORDS, F.when(low == high, F.array(*ends(low))).otherwise(F.array(*ends(low), *ends(high))))
+    return words.select("_id", "_key", "_no", _order().alias("_order"), c.text_key(F.concat_ws(" ", "_words")).alias("_line"), keys.alias("_ends"))
 
 
-def _candidates(first: DataFrame) -> DataFrame:
-    """Lines that share an end with another line."""
-    ends = first.select("_line", F.explode("_ends").alias("_end"))
-    shared = ends.groupBy("_end").agg(F.count("*").alias("_n")).where("_n > 1").select("_end")
-    return ends.join(shared, "_end", "left_semi").select("_line").distinct()
+def _candidates(places: DataFrame) -> DataFrame:
+    """The first places of the lines that share an end with another line."""
+    ends = places.where(F.col("_ends").isNotNull()).select(
+        "_id", "_key", "_no", "_order", "_line", F.xxhash64("_line").alias("_short"), F.explode_outer("_ends").alias("_end"))
+    shared = c.materialise(ends.groupBy("_end").agg(F.min("_short").alias("_a"), F.max("_short").alias("_b")).where("_a < _b").select("_end"))
+    found = ends.join(c.sized(shared), "_end", "left_semi")
+    return c.materialise(found.groupBy("_line").agg(F.min("_order").alias("_order"), F.min_by(F.struct("_id", "_key", "_no"), "_order").alias("_at")))
 
 
 def near_duplicates(lines: DataFrame) -> DataFrame:
-    """`_line`s with an earlier line one word apart. `lines`: _line, _first (place), _words; one row per line."""
+    """`_line`s with an earlier line one word apart. `lines`: _line, _order, _words; one row per line."""
     n = F.size("_words")
-    variants = lines.select("_line", "_first", n.alias("_n"), F.posexplode_outer(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: _hash(F.concat(F.slice("_words", 1, i - 1), F.slice("_words", i + 1, F.greatest(n - i, F.lit(0)))))),
-    ).alias("_at", "_variant"))
-    whole = lines.select(F.col("_line").alias("_whole"), F.col("_first").alias("_whole_first"), n.alias("_whole_n"), _hash(F.col("_words")).alias("_variant"))
-    by = ["_variant", "_n", "_at"]
-    earliest = variants.groupBy(*by).agg(F.min(F.struct("_first", "_line")).alias("_best"))
-    exchanged = variants.join(earliest, by).where(F.col("_best._first") < F.col("_first")).select(
-        "_line", F.struct(F.col("_best._first").alias("first"), F.col("_best._line").alias("line"), F.lit(-1).alias("at")).alias("_partner"))
-    nested = variants.join(whole, "_variant").where(F.col("_n") == F.col("_whole_n") + 1)
-    later = F.col("_whole_first") < F.col("_first")
-    shorter = nested.where(later).select(
-        "_line", F.struct(F.col("_whole_first").alias("first"), F.col("_whole").alias("line"), F.col("_at").alias("at")).alias("_partner"))
-    longer = nested.where(~later).select(
-        F.col("_whole").alias("_line"), F.struct(F.col("_first").alias("first"), F.col("_line").alias("line"), F.col("_at").alias("at")).alias("_partner"))
-    best = exchanged.unionByName(shorter).unionByName(longer).groupBy("_line").agg(F.min("_partner").alias("_partner"))
+    cut = F.concat(F.slice("_words", F.lit(1), F.col("_at") - 1), F.slice("_words", F.col("_at") + 1, F.greatest(n - F.col("_at"), F.lit(0))))
+    each = lines.select("_line", "_order", "_words", n.alias("_n"), F.explode_outer(F.sequence(F.lit(1), n)).alias("_at"))
+    variants = each.select("_line", "_order", "_n", "_at", *_hash(cut))
+    by = ["_v", "_w", "_n", "_at"]
+    earliest = c.materialise(variants.groupBy(*by).agg(F.min("_order").alias("_best"), F.count("*").alias("_k")).where("_k > 1").drop("_k"))
+    exchanged = variants.join(c.sized(earliest), by).where(F.col("_best") < F.col("_order")).select("_line", "_best", F.lit(0).alias("_at"))
+    whole = c.materialise(lines.select(*_hash(F.col("_words")), F.col("_line").alias("_whole"), F.col("_order").alias("_whole_order"), n.alias("_whole_n")))
+    nested = variants.join(c.sized(whole), ["_v", "_w"]).where(F.col("_n") == F.col("_whole_n") + 1)
+    later = F.col("_whole_order") < F.col("_order")
+    beside = nested.select(F.when(later, F.col("_line")).otherwise(F.col("_whole")).alias("_line"),
+                           F.when(later, F.col("_whole_order")).otherwise(F.col("_order")).alias("_best"), "_at")
+    best = exchanged.unionByName(beside).groupBy("_line").agg(F.min(F.struct("_best", "_at")).alias("_partner"))
     mine = lines.select("_line", F.col("_words").alias("_a"))
-    theirs = lines.select(F.col("_line").alias("_other"), F.col("_words").alias("_b"))
-    pairs = best.join(mine, "_line").join(theirs, F.col("_partner.line") == F.col("_other"))
-    at = F.col("_partner.at")
+    theirs = lines.select(F.col("_order").alias("_best"), F.col("_words").alias("_b"))
+    pairs = best.select("_line", "_partner._best", F.col("_partner._at").alias("_at")).join(mine, "_line").join(theirs, "_best")
     long = F.when(F.size("_a") > F.size("_b"), F.col("_a")).otherwise(F.col("_b"))
     short = F.when(F.size("_a") > F.size("_b"), F.col("_b")).otherwise(F.col("_a"))
-    cut = F.concat(F.slice(long, F.lit(1), at), F.slice(long, at + 2, F.greatest(F.size(long) - at - 1, F.lit(0))))
+    at = F.greatest(F.col("_at"), F.lit(1))
+    rest = F.concat(F.slice(long, F.lit(1), at - 1), F.slice(long, at + 1, F.greatest(F.size(long) - at, F.lit(0))))
     differ = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x != y), lambda x: x))
-    return pairs.where(F.when(at < 0, (F.size("_a") == F.size("_b")) & (differ <= 1)).otherwise(cut == short)).select("_line")
+    return pairs.where(F.when(F.col("_at") == 0, (F.size("_a") == F.size("_b")) & (differ <= 1)).otherwise(rest == short)).select("_line")
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document (`_id`, `_key`) the sorted numbers of the lines to remove, `_gone`."""
+    """Every line to remove: _id, _key, _no."""
     places = c.materialise(line_places(docs, doc_id, text))
-    first = places.groupBy("_line").agg(F.min(_place()).alias("_first"), F.count("*").alias("_n"), F.first("_ends").alias("_ends"))
-    first = c.materialise(first)
-    wanted = c.materialise(first.join(_candidates(first.where(F.col("_ends").isNotNull())), "_line", "left_semi").select("_line", "_first"))
-    at = wanted.select(F.col("_first.id").alias("_id"), F.col("_first.key").alias("_key"), F.col("_first.no").alias("_no"), "_line", "_first")
+    often = places.groupBy("_line").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_line", "_first")
+    at = _candidates(places).select("_at.*", "_line", "_order")
     raw = _rows(docs, doc_id, text).select("_id", "_key", F.posexplode_outer(F.split("_text", "\n")).alias("_no", "_raw"))
-    if wanted.count() <= BROADCAST_LINES:
-        at = F.broadcast(at)
-    same = raw["_id"].eqNullSafe(at["_id"]) & (raw["_key"] == at["_key"]) & (raw["_no"] == at["_no"])
+    wanted = c.sized(at)
+    same = raw["_id"].eqNullSafe(wanted["_id"]) & (raw["_key"] == wanted["_key"]) & (raw["_no"] == wanted["_no"])
     # Rows that agree in id and text bring a line twice; one is enough.
-    lines = raw.join(at, same).select("_line", "_first", c.plain_words(F.col("_raw")).alias("_words")).dropDuplicates(["_line"])
+    lines = raw.join(wanted, same).select("_line", "_order", c.plain_words(F.col("_raw")).alias("_words")).dropDuplicates(["_line"])
     near = near_duplicates(c.materialise(lines)).withColumn("_near", F.lit(True))
-    judged = first.select("_line", "_first", "_n").join(near, "_line", "left").where(F.col("_near") | (F.col("_n") > 1))
-    gone = places.select("_line", "_id", "_key", "_no").join(judged, "_line").where(F.col("_near") | (_place() != F.col("_first")) & ~_place().eqNullSafe(F.col("_first")))
-    return gone.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("_no")).alias("_gone"))
+    judged = c.materialise(often.join(near, "_line", "full"))
+    return c.materialise(places.select("_line", "_id", "_key", "_no", "_order").join(c.sized(judged), "_line").where(
+        F.coalesce(F.col("_near"), F.col("_order") > F.col("_first"))).select("_id", "_key", "_no"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_empty: bool = False, counts: bool = False) -> DataFrame:
     """Documents with duplicate lines removed from `text`; with `counts` also n_lines and n_removed."""
-    gone = duplicate_lines(docs, doc_id, text)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_hash"))
+    removed = duplicate_lines(docs, doc_id, text)
+    gone = removed.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("_no")).alias("_gone"))
+    gone = F.broadcast(gone) if removed.count() <= GONE_LINES else gone
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).cast("bigint").alias("_own"), F.xxhash64(text).alias("_hash"))
     joined = rows.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
     split = joined.withColumn("_lines", F.split(F.col("_row")[text], "\n"))
     left = split.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
