@@ -74,18 +74,25 @@ def _candidates(places: DataFrame) -> DataFrame:
 def near_duplicates(lines: DataFrame) -> DataFrame:
     """`_line`s with an earlier line one word apart. `lines`: _line, _order, _words; one row per line."""
     n = F.size("_words")
-    cut = F.concat(F.slice("_words", F.lit(1), F.col("_at") - 1), F.slice("_words", F.col("_at") + 1, F.greatest(n - F.col("_at"), F.lit(0))))
-    each = lines.select("_line", "_order", "_words", n.alias("_n"), F.explode_outer(F.sequence(F.lit(1), n)).alias("_at"))
+    lines = lines.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))  # variants are hashed from word hashes
+    cut = F.concat(F.slice("_hashes", F.lit(1), F.col("_at") - 1), F.slice("_hashes", F.col("_at") + 1, F.greatest(F.col("_n") - F.col("_at"), F.lit(0))))
+    each = c.settled(lines.select("_line", "_order", "_hashes", n.alias("_n"))).select("*", F.explode_outer(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
     variants = each.select("_line", "_order", "_n", "_at", *_hash(cut))
     by = ["_v", "_w", "_n", "_at"]
     earliest = c.materialise(variants.groupBy(*by).agg(F.min("_order").alias("_best"), F.count("*").alias("_k")).where("_k > 1").drop("_k"))
-    exchanged = variants.join(c.sized(earliest), by).where(F.col("_best") < F.col("_order")).select("_line", "_best", F.lit(0).alias("_at"))
-    whole = c.materialise(lines.select(*_hash(F.col("_words")), F.col("_line").alias("_whole"), F.col("_order").alias("_whole_order"), n.alias("_whole_n")))
-    nested = variants.join(c.sized(whole), ["_v", "_w"]).where(F.col("_n") == F.col("_whole_n") + 1)
+    whole = c.materialise(lines.select(*_hash(F.col("_hashes")), F.col("_line").alias("_whole"), F.col("_order").alias("_whole_order"), (n + 1).alias("_n")))
+    met = variants.join(c.sized(earliest), by, "left").join(c.sized(whole), ["_v", "_w", "_n"], "left").where(
+        (F.col("_best") < F.col("_order")) | F.col("_whole").isNotNull())
     later = F.col("_whole_order") < F.col("_order")
-    beside = nested.select(F.when(later, F.col("_line")).otherwise(F.col("_whole")).alias("_line"),
-                           F.when(later, F.col("_whole_order")).otherwise(F.col("_order")).alias("_best"), "_at")
-    best = exchanged.unionByName(beside).groupBy("_line").agg(F.min(F.struct("_best", "_at")).alias("_partner"))
+
+    def partner(line: Column, order: Column, at: Column) -> Column:
+        return F.struct(line.alias("_line"), order.alias("_best"), at.alias("_at"))
+
+    found = met.select(F.explode_outer(F.array(
+        F.when(F.col("_best") < F.col("_order"), partner(F.col("_line"), F.col("_best"), F.lit(0))),
+        F.when(F.col("_whole").isNotNull(), partner(F.when(later, F.col("_line")).otherwise(F.col("_whole")), F.least("_whole_order", "_order"), F.col("_at"))),
+    )).alias("_found")).select("_found.*").where(F.col("_line").isNotNull())
+    best = found.groupBy("_line").agg(F.min(F.struct("_best", "_at")).alias("_partner"))
     mine = lines.select("_line", F.col("_words").alias("_a"))
     theirs = lines.select(F.col("_order").alias("_best"), F.col("_words").alias("_b"))
     pairs = best.select("_line", "_partner._best", F.col("_partner._at").alias("_at")).join(mine, "_line").join(theirs, "_best")
