@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words between white space, case kept.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
-#: Words of letters, digits and everything beyond ASCII, after A-Z were lower-cased.
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words between white space, case kept: [^\x20\x09-\x0D]+, written as ranges, which Java matches several times faster.
+SPACED_WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
+#: Words of letters, digits and everything beyond ASCII, after A-Z were lower-cased: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+PLAIN_WORD = r"[\x30-\x39\x61-\x7A\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -22,7 +22,7 @@ from . import common as c
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
 #: As common.PLAIN_WORD, for text whose case is kept, with what follows the word.
-WORD_AND_REST = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+WORD_AND_REST = r"[\x30-\x39\x41-\x5A\x61-\x7A\x80-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:

@@ -76,7 +76,7 @@ def test_quality_odd(odd, none):
     assert len(out) == odd.count()
     assert all(r["n_words"] == 0 and r["word_chars"] == 0 for r in out if r["doc_id"] in (3, 4, 5, 8))
     for r in out:
-        words = re.findall(c.SPACED_WORD, r["text"] or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
         windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
         twice = {w for w, n in Counter(windows).items() if n > 1}
         assert r["n_repeat_words"] == len({i + j for i, w in enumerate(windows) if w in twice for j in range(5)})
@@ -343,8 +343,9 @@ def test_one_of_each_stays(spark, odd):
 def test_hosts_and_rules(spark):
     urls = [None, "", "no scheme", "http://WWW.Example.com/en/x?q#f", "https://example.com/en", "https://a.example.com/en/?x", "x://net/es/a", "y://sub.net/fr/", "z://net/de/",
             "http://bad.org/1", "http://bad.org/2", "http://BAD.org?x", "http://", "a://b://c/d", "http://h.co.uk#x"]
-    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(0, None, None)] + [(100 + i, "http://bad.org/x", "") for i in range(60)], "page_id long, url string, html string")
-    labels = spark.createDataFrame([(100 + i, 1, 1) for i in range(60)] + [(3, 1, 0), (4, 1, 0), (5, None, None), (5, 1, 0), (None, 0, 1)] + [(i, 1, 0) for i in (6, 7, 8)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(0, None, None)] + [(100 + i, "http://bad.org/x", "") for i in range(60)]
+                                  + [(1000 + i, f"http://good{i % 9}.com/x", "") for i in range(300)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(100 + i, 1, 1) for i in range(60)] + [(1000 + i, 1, 0) for i in range(300)] + [(3, 1, 0), (4, 1, 0), (5, None, None), (5, 1, 0), (None, 0, 1)] + [(i, 1, 0) for i in (6, 7, 8)], "doc_id long, quality int, toxic int")
     got = defaultdict(list)
     for r in rows_of(host_reputation.judge_urls(pages, labels)):
         got[r["page_id"]].append((r["host"], r["path"], r["rule"], r["verdict"]))
