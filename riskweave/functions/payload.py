@@ -11,9 +11,13 @@ from .common import let
 BLOB_PATTERN = r"""['"]([A-Za-z0-9+/=\s]{20,})['"]\s*\|\s*base64"""
 
 
-def quoted_blob(text: Column) -> Column:
-    """The first quoted blob without white space, '' when there is none."""
-    return F.regexp_replace(F.regexp_extract(text, BLOB_PATTERN, 1), r"\s+", "")
+# Stands between the payloads of a text; no rule's gap reaches over it.
+BLOB_BREAK = "\n\x01\n"
+
+
+def quoted_blobs(text: Column) -> Column:
+    """All quoted blobs in order, without white space."""
+    return F.transform(F.regexp_extract_all(text, F.lit(BLOB_PATTERN), F.lit(1)), lambda b: F.regexp_replace(b, r"\s+", ""))
 
 
 def _scan_padding(blob: Column) -> Column:
@@ -57,7 +61,8 @@ def _decoded_text(blob: Column) -> Column:
 
 
 def decoded_payload(text: Column) -> Column:
-    """The first blob decoded to text, without bytes that are not UTF-8; '' if
-    there is no blob or it does not decode."""
+    """All blobs decoded to text, without bytes that are not UTF-8, with
+    `BLOB_BREAK` between them; '' if none decodes."""
     likely = F.contains(text, F.lit("base64")) & F.contains(text, F.lit("|"))
-    return F.when(likely, F.coalesce(let(quoted_blob(text), _decoded_text), F.lit(""))).otherwise(F.lit(""))
+    decoded = F.transform(quoted_blobs(text), lambda b: F.coalesce(_decoded_text(b), F.lit("")))
+    return F.when(likely, F.array_join(F.filter(decoded, lambda d: d != ""), BLOB_BREAK)).otherwise(F.lit(""))

@@ -47,19 +47,21 @@ def text_fragments(content: Column) -> Column:
     return F.transform(F.filter(items, lambda item: _kind(item) == "STRING"), lambda item: _variant(item, "$", "string"))
 
 
-def flatten_chat(df: DataFrame, *, keys: list[str], json_col: str = "record") -> DataFrame:
+def flatten_chat(df: DataFrame, *, keys: list[str], json_col: str = "record", max_bytes: int | None = None) -> DataFrame:
     """Chat records of any shape to ``(*keys, role, text)``.
 
     Takes ``{role, content}`` and ``{message: {role, content}}``; content may be
     text, a list or nested objects. Role and content of the message come before
     those of the record. Records that are no objects give an empty text; JSON
-    that does not parse, or is longer than the record limit, raises.
+    that does not parse, or is longer than ``max_bytes`` if given, raises.
     """
     record = F.col("_r")
     df = df.select(*keys, F.col(json_col).alias("_json"))
-    df = df.withColumn("_r", F.when(
-        F.octet_length("_json") > values.MAX_CHAT_BYTES,
-        F.raise_error(F.lit("chat record exceeds size limit")).cast("variant")).otherwise(F.parse_json("_json")))
+    parsed = F.parse_json("_json")
+    if max_bytes is not None:
+        parsed = F.when(F.octet_length("_json") > max_bytes,
+                        F.raise_error(F.lit("chat record exceeds size limit")).cast("variant")).otherwise(parsed)
+    df = df.withColumn("_r", parsed)
     message = F.when(_kind(_variant(record, "$.message", "variant")) == "OBJECT", _variant(record, "$.message", "variant"))
     outer_role = _variant(record, "$.role", "variant")
     df = df.withColumns({"_m": message, "_role": outer_role})
@@ -122,7 +124,6 @@ def strict_content(df: DataFrame, *, keys: list[str], json_col: str = "record")
 def guard_json(df: DataFrame, *, keys: list[str], json_col: str = "record", **options) -> DataFrame:
     """Guard verdicts of JSON messages; invalid input is dangerous."""
     strict = strict_content(df, keys=keys, json_col=json_col)
-    options.setdefault("max_bytes", values.MAX_TEXT_BYTES)
     judged = add_verdict(strict, "text", "_v", **options)
     code = F.when(F.col("valid"), F.col("_v.code")).otherwise(F.lit(2))
     return judged.select(

@@ -9,7 +9,7 @@ from ..functions.common import emit
 from ..functions.hosts import extract_host_array, host_signals, may_hold_url
 from ..functions.normalize import canonicalize_shell, fold, nfkc, normalize_corpus
 from ..tables import contexts as values
-from .verdicts import MAX_INLINE_HOSTS, VERDICT_TYPE, Blocklist, add_verdict, seed_blocklist, verdict
+from .verdicts import VERDICT_TYPE, Blocklist, add_verdict, seed_blocklist, verdict
 
 
 def extract_hosts(df: DataFrame, *, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -43,13 +43,8 @@ def score_hosts(hosts: DataFrame, blocklist: Blocklist | DataFrame | None = None
 
 def _mark_listed(hosts: DataFrame, blocklist: DataFrame) -> DataFrame:
     listed = blocklist.select(F.lower("host").alias("host")).distinct()
-    present = hosts.select("host").distinct().join(listed, "host", "left_semi")
-    few = present.limit(MAX_INLINE_HOSTS + 1).collect()
-    if len(few) <= MAX_INLINE_HOSTS:
-        found = [row.host for row in few]
-        return hosts.withColumn("blocked", F.col("host").isin(found) if found else F.lit(False))
-    # More hits than a plan should hold: join, and let AQE split the hot hosts.
-    marked = present.withColumn("blocked", F.lit(True))
+    # Spark chooses the join by the size of the list, and splits hot hosts.
+    marked = listed.withColumn("blocked", F.lit(True))
     return hosts.join(marked, "host", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
@@ -71,19 +66,27 @@ def host_verdicts(scored: DataFrame, *, keys: list[str], trusted: bool = True) -
 
 
 def classify_with_blocklist(df: DataFrame, blocklist: DataFrame, *, keys: list[str], text_col: str = "text",
-                            **options) -> DataFrame:
+                            trusted: bool = True, unicode_forms: bool = True, **options) -> DataFrame:
     """`classify_corpus` with a blocklist table of any size; ``keys`` must be unique.
 
+    With ``trusted=False``, for a list whose digest is wrong, every text that no earlier stage decides is at least
+    suspicious. Texts over ``max_bytes`` are decided by that.
+
     Texts are judged without hosts where they lie. Only hosts and verdicts, both
     narrow, are joined by key afterwards; texts never move.
     """
     texts = df.select(*keys, F.col(text_col).alias("_text"))
-    base = add_verdict(texts, "_text", "_v", host_stage=False, settled_col="_settled", **options).drop("_text")
-    norm = canonicalize_shell(normalize_corpus(texts, "_text", "_text"), "_text")
+    base = add_verdict(texts, "_text", "_v", host_stage=False, settled_col="_settled", unicode_forms=unicode_forms, **options)
+    base = base.withColumn("_any", F.col("_text").rlike(r"\S")).drop("_text")
+    norm = canonicalize_shell(normalize_corpus(texts, "_text", "_text", unicode_forms=unicode_forms), "_text")
     found = host_verdicts(score_hosts(extract_hosts(norm, keys=keys, text_col="_text"), blocklist), keys=keys)
     found = found.filter("code > 0").select(*keys, F.col("code").alias("_code"), F.col("reasons").alias("_reasons"))
     by_host = F.when(F.col("_code") == 2, verdict(2, F.col("_reasons"))).otherwise(verdict(1, F.col("_reasons")))
     joined = base.join(found, keys, "left")
+    if not trusted:
+        reasons = F.concat(F.array(F.lit(values.TAMPERED_REASON)), F.coalesce("_reasons", F.array().cast("array<string>")))
+        joined = joined.withColumn("_reasons", F.when(F.col("_any"), reasons)).withColumn(
+            "_code", F.when(F.col("_any"), F.greatest(F.coalesce("_code", F.lit(0)), F.lit(1))))
     return emit(joined, keys, F.when(~F.col("_settled") & F.col("_code").isNotNull(), by_host)
                 .otherwise(F.col("_v")).cast(VERDICT_TYPE))
 

@@ -16,7 +16,6 @@ from ..tables import shell_rules
 SECTIONS = ("blocked", "suspicious", "safe_installers", "bounty_spam")
 RULE_SCHEMA = "section string, ord int, rule_id string, pattern string, description string"
 # A rule table becomes expressions of one plan, so its size is checked.
-MAX_RULES = 2_000
 
 
 @dataclass(frozen=True)
@@ -81,13 +80,15 @@ def _compile_check(spark: SparkSession, section: str, i: int, pattern: str) -> N
         raise ValueError(f"regex not usable on the JVM in {section}[{i}]: {pattern}") from error
 
 
-def rules_from_df(rules: DataFrame) -> RuleBook:
-    """Validates a rule table and compiles it; raises ``ValueError`` on any problem."""
+def rules_from_df(rules: DataFrame, max_rules: int | None = None) -> RuleBook:
+    """Validates a rule table and compiles it; raises ``ValueError`` on any problem.
+
+    A rule book is part of the plan and so comes to the driver; ``max_rules`` refuses longer tables."""
     spark = rules.sparkSession
     rules = rules.select(*[F.col(c.split()[0]) for c in RULE_SCHEMA.split(", ")])
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule table has more than {MAX_RULES} rules")
+    rows = (rules if max_rules is None else rules.limit(max_rules + 1)).collect()
+    if max_rules is not None and len(rows) > max_rules:
+        raise ValueError(f"rule table has more than {max_rules} rules")
     bounded = spark.createDataFrame(rows, RULE_SCHEMA)
     problems = validate_rules(bounded).orderBy("section", "ord").take(5)
     if problems:

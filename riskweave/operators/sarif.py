@@ -47,17 +47,18 @@ def severity(properties: Column, rule_properties: Column, level: Column) -> Colu
     return F.coalesce(*candidates, by_level, F.lit("unknown"))
 
 
-def parse_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document") -> DataFrame:
+def parse_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", max_bytes: int | None = None,
+                max_findings: int | None = None) -> DataFrame:
     """``(*keys, sarif, problem)``: parsed documents; ``problem`` tells what is wrong.
     ``runs`` that are no array parse to NULL."""
     df = df.select(*keys, F.octet_length(json_col).alias("_bytes"),
                    F.from_json(F.col(json_col), SARIF_SCHEMA, {"mode": "PERMISSIVE"}).alias("sarif"))
     findings = F.aggregate("sarif.runs", F.lit(0), lambda n, run: n + F.greatest(F.size(run.results), F.lit(0)))
     return df.select(*keys, "sarif", (
-        F.when(F.col("_bytes") > values.MAX_SARIF_BYTES, "document exceeds the size limit")
+        F.when(F.col("_bytes") > (max_bytes or F.lit(None)), "document exceeds the size limit")
         .when((F.coalesce("sarif.version", F.lit("")) != "2.1.0") | F.col("sarif.runs").isNull(),
               "expected a 2.1.0 document with a runs array")
-        .when(findings > values.MAX_SARIF_FINDINGS, "document has too many findings")).alias("problem"))
+        .when(findings > (max_findings or F.lit(None)), "document has too many findings")).alias("problem"))
 
 
 def _results_with_rules(run: Column) -> Column:
@@ -81,14 +82,16 @@ def _results_with_rules(run: Column) -> Column:
 _RULE_TYPE = "struct<id: string, shortDescription: struct<text: string>, properties: map<string,string>>"
 
 
-def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", strict: bool = True) -> DataFrame:
+def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", strict: bool = True,
+                    max_message: int | None = None, **limits) -> DataFrame:
     """``(*keys, pos, id, title, severity, message, path, line, fingerprint)``.
 
     Only the rule lookup happens inside the document; results leave it in one
     Generate and are worked out as plain columns. Invalid documents raise;
-    ``strict=False`` leaves them out, see `parse_sarif` for the reasons.
+    ``strict=False`` leaves them out, see `parse_sarif` for the reasons and limits.
+    ``max_message`` cuts messages.
     """
-    parsed = parse_sarif(df, keys=keys, json_col=json_col)
+    parsed = parse_sarif(df, keys=keys, json_col=json_col, **limits)
     if strict:
         parsed = parsed.withColumn("sarif", F.when(F.col("problem").isNull(), F.col("sarif")).otherwise(
             F.raise_error(F.concat(F.lit("invalid SARIF: "), F.col("problem"))).cast(parsed.schema["sarif"].dataType)))
@@ -105,7 +108,7 @@ def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document
     rows = rows.select(
         *keys, "pos", rule_id.alias("id"), F.coalesce(_filled(rule.shortDescription.text), rule_id).alias("title"),
         severity(result.properties, rule.properties, result.level).alias("severity"),
-        F.left(F.coalesce(text, F.lit("")), F.lit(values.MAX_MESSAGE_CHARS)).alias("message"),
+        (F.coalesce(text, F.lit("")) if max_message is None else F.left(F.coalesce(text, F.lit("")), F.lit(max_message))).alias("message"),
         _filled(place.artifactLocation.uri).alias("path"), place.region.startLine.alias("line"),
         _filled(F.get(F.map_values(result.partialFingerprints), F.lit(0))).alias("_given"))
     none = F.lit("None")

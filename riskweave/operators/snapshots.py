@@ -59,15 +59,26 @@ def keep_latest(manifests: DataFrame, *, dataset: str, ts: str, name: str,
                 keep: int = values.KEEP_SNAPSHOTS) -> tuple[DataFrame, DataFrame]:
     """Splits manifests into the newest ``keep`` per dataset and the rest.
 
-    The kept ones are a top-k that Spark prunes before the shuffle; the rest is
-    what does not join them, so a dataset of any size is never in one task whole.
+    The kept ones are found by a top-k that Spark prunes before the shuffle; every row is then compared with the last
+    kept key of its dataset, so a dataset of any size is never in one task whole. A NULL time or name is oldest, NULL
+    datasets are one dataset. Of rows that agree with the last kept key in time and name, so many are kept as belong
+    to the newest ``keep``; which of them is settled by a hash of their columns.
     """
     if keep < 1:
         raise ValueError("keep must be at least 1")
     order = W.partitionBy(dataset).orderBy(F.col(ts).desc(), F.col(name).desc())
-    kept = manifests.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= keep).drop("_rn")
-    removed = manifests.join(kept.select(dataset, ts, name), [dataset, ts, name], "left_anti")
-    return kept, removed
+    key = F.struct(F.col(ts).alias("ts"), F.col(name).alias("name"))
+    top = manifests.select(F.col(dataset).alias("_of"), ts, name).withColumnRenamed("_of", dataset).withColumn(
+        "_rn", F.row_number().over(order)).filter(F.col("_rn") <= keep)
+    last = top.groupBy(F.col(dataset).alias("_of")).agg(F.max_by(key, "_rn").alias("_last"), F.collect_list(key).alias("_keys"))
+    last = last.select("_of", "_last", F.size(F.filter("_keys", lambda k: k.eqNullSafe(F.col("_last")))).alias("_room"))
+    judged = manifests.join(last, F.col(dataset).eqNullSafe(F.col("_of"))).withColumn("_key", key)
+    inner = ["_of", "_last", "_room", "_key"]
+    newer, older = judged.filter(F.col("_key") > F.col("_last")), judged.filter(F.col("_key") < F.col("_last"))
+    same = W.partitionBy(dataset).orderBy(F.xxhash64(*manifests.columns))
+    tied = judged.filter(F.col("_key").eqNullSafe(F.col("_last"))).withColumn("_nth", F.row_number().over(same))
+    return (newer.drop(*inner).unionByName(tied.filter("_nth <= _room").drop(*inner, "_nth")),
+            older.drop(*inner).unionByName(tied.filter("_nth > _room").drop(*inner, "_nth")))
 
 
 def distinct_targets(requested: DataFrame, *, target: str, pos: str) -> DataFrame:

@@ -211,7 +211,8 @@ def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict",
     )).drop("_spam", "_judged")
     settled = []
     if settled_col:
-        df = df.withColumn("_settled", F.col("_early").isNotNull())
+        over = F.octet_length(text_col) > max_bytes if max_bytes is not None else F.lit(False)
+        df = df.withColumn("_settled", F.col("_early").isNotNull() | F.coalesce(over, F.lit(False)))
         settled = [F.col("_settled").alias(settled_col)]
     if host_stage:
         df = df.withColumn("_early", F.coalesce(
@@ -245,8 +246,9 @@ def classify_corpus(df: DataFrame, *, keys: list[str], text_col: str = "text", *
 
 
 def guard_envelope(df: DataFrame, *, keys: list[str], text_col: str = "text", **options) -> DataFrame:
-    """Texts to the guard protocol ``(allowed, verdict, code, reasons, matched, warning)``."""
-    options.setdefault("max_bytes", values.MAX_TEXT_BYTES)
+    """Texts to the guard protocol ``(allowed, verdict, code, reasons, matched, warning)``.
+
+    Texts of any length are read; ``max_bytes=MAX_TEXT_BYTES`` sets the published limit."""
     code = F.col("code")
     too_large = F.array_contains("reasons", values.TOO_LARGE_REASON)
     warning = (

@@ -41,8 +41,14 @@ _INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{2066}-\x{2069}\x{fe
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+
+
 def normalized(column: str) -> str:
-    sql = replace(f"coalesce({column}, '')", r"\x1b\[[0-?]*[ -/]*[@-~]", "")
+    # Of the compatibility forms, the planted texts hold full-width ASCII.
+    sql = f"translate(coalesce({column}, ''), '{_WIDE}', {q(_NARROW)})"
+    sql = replace(sql, r"\x1b\[[0-?]*[ -/]*[@-~]", "")
     sql = replace(sql, r"\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)", "")
     sql = replace(sql, _INVISIBLE, "")
     for _ in range(4):
@@ -231,9 +237,13 @@ def verdict_ctes(source: str, keys: str, column: str = "text", p: str = "v_") ->
 {judged_ctes(p, p + 'hits', keys, 't', p + 'rules', _CLAUSE, _CONTEXT, _INSTALLER)},
 {host_ctes(p, p + 'canon', keys, 't')},
 {p}blob AS (
-  SELECT {keys}, replace(regexp_extract(t, {q(_BLOB)}, 1), ' ', '') AS blob FROM {p}canon WHERE {has('t', _BLOB, 'c')}),
+  SELECT {keys}, unnest(bs) AS blob, generate_subscripts(bs, 1) AS nth
+  FROM (SELECT {keys}, regexp_extract_all(t, {q(_BLOB)}, 1) AS bs FROM {p}canon)),
+{p}each AS (
+  SELECT {keys}, nth, coalesce(try(decode(from_base64(CASE WHEN length(replace(blob, ' ', '')) % 4 = 0 THEN replace(blob, ' ', '') ELSE '' END))), '') AS d
+  FROM {p}blob),
 {p}decoded AS (
-  SELECT {keys}, coalesce(try(decode(from_base64(CASE WHEN length(blob) % 4 = 0 THEN blob ELSE '' END))), '') AS d FROM {p}blob),
+  SELECT {keys}, coalesce(string_agg(d, chr(10) || chr(1) || chr(10) ORDER BY nth) FILTER (d <> ''), '') AS d FROM {p}each GROUP BY {keys}),
 {p}dhits AS (SELECT {keys}, d, {hit_list('d', shell_rules.BLOCKED)} AS hits FROM {p}decoded),
 {judged_ctes(p + 'd', p + 'dhits', keys, 'd', p + 'rules', _CLAUSE, _CONTEXT, _INSTALLER)},
 {p}decv AS (
@@ -533,7 +543,6 @@ SELECT {names}samples, tp, tn, fp, fn, round(precision_, 6) AS precision, round(
 FROM ratios"""
 
 
-_TOO_LARGE = f"octet_length(encode(text)) > {contexts.MAX_TEXT_BYTES}"
 
 
 def _warning() -> str:

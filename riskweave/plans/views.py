@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import literal_array
-from ..sources.readers import spread_small
 from ..tables import contexts as values
 from . import payloads
 
@@ -16,12 +15,20 @@ from . import payloads
 def table(spark: SparkSession, sf_dir: str, name: str, *, streaming: bool = False) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if streaming:
-        return spark.readStream.schema(df.schema).option("pathGlobFilter", f"{name}.parquet*").parquet(sf_dir)
+        # A table is a file, which the file source takes by its folder and name, or a folder of part files.
+        path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir, f"{name}.parquet")
+        stream = spark.readStream.schema(df.schema)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+            return stream.parquet(path.toString())
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return df
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, name))
+    """A table of texts. Where the session asks for it, as the local one does for tables of a single file, its rows
+    are spread over so many partitions."""
+    df, spread = table(spark, sf_dir, name), spark.conf.get("spark.riskweave.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def _pick(items, key: Column, modulus: int) -> Column:

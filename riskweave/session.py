@@ -19,6 +19,7 @@ def local_session(app: str = "riskweave", cpus: str | None = None) -> SparkSessi
         # compile them, so such stages run operator by operator instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
+        .config("spark.riskweave.spread", cpus)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

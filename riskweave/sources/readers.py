@@ -6,26 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import EVENT_SCHEMA
-from ..tables import contexts as values
 from ..tables import host_signals
 
 
-# Inputs below this size may be re-partitioned; larger ones keep their splits.
-SPREAD_BYTES = 2 << 30
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spreads a small input that comes in fewer files than there are cores, so that
-    row-local text work uses all of them. Anything larger is returned as it is:
-    shuffling texts costs more than it gains, and large inputs have splits enough."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if len(df.inputFiles()) >= cores or size > SPREAD_BYTES:
-        return df
-    return df.repartition(cores)
-
-
 def read_history(spark: SparkSession, path) -> DataFrame:
     """Text files whole, ``(path, text)``, for `scan_lines`. A missing path raises."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -36,11 +19,9 @@ def read_chat_export(spark: SparkSession, path) -> DataFrame:
     first character is ``[``, else one record per line; blank lines are skipped."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     is_array = F.ltrim(F.regexp_replace("value", r"^[\s\ufeff]+", "")).startswith("[")
-    too_long = is_array & (F.octet_length("value") > values.MAX_CHAT_BYTES)
     elements = F.transform(F.variant_get(F.parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
     lines = F.split("value", "\n")
-    records = F.when(too_long, F.raise_error(F.lit("chat export exceeds bounded JSON size; use JSONL")).cast("array<string>")
-                     ).when(is_array, elements).otherwise(lines)
+    records = F.when(is_array, elements).otherwise(lines)
     return (files.select("path", F.posexplode(records).alias("_pos", "record"))
             .filter(F.trim("record") != "")
             .select("path", (F.col("_pos") + 1).alias("position"), "record"))

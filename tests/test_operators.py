@@ -199,7 +199,7 @@ def test_sarif(spark):
     got = sarif.normalize_sarif(df, keys=["doc"]).orderBy("pos").collect()
     assert [r.severity for r in got] == ["critical", "unknown", "medium", "low", "low", "informational"]
     assert (got[0].title, got[0].fingerprint, got[0].path, got[0].line) == ("Unsafe execution", "stable-id", "src/e.py", 42)
-    assert len(got[1].message) == 4096 and got[1].id == "unknown" and got[2].message == "bare"
+    assert len(got[1].message) == 5000 and got[1].id == "unknown" and got[2].message == "bare"
     assert got[2].fingerprint == hashlib.sha256(b"R2\0None\0None\0bare").hexdigest()[:24]
     counts = sarif.severity_counts(sarif.normalize_sarif(df, keys=["doc"]), keys=["doc"]).first()
     assert (counts.total, counts.critical, counts.high, counts.low) == (6, 1, 0, 2)
