@@ -47,12 +47,40 @@ def severity(properties: Column, rule_properties: Column, level: Column) -> Colu
     return F.coalesce(*candidates, by_level, F.lit("unknown"))
 
 
+_RULES = "id string, shortDescription struct<text: string>, properties map<string,string>"
+_RESULTS = ("ruleId string, level string, message string, properties map<string,string>, partialFingerprints map<string,string>, "
+            "locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>")
+
+
+def _objects(items: Column) -> Column:
+    return F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+
+
+def _read_one_by_one(document: Column) -> Column:
+    """The document with every run, rule and result read by itself: entries that are no objects are passed over, and
+    a field of an odd type is NULL, without loss of its neighbours."""
+    def each(run: Column, path: str, schema: str) -> Column:
+        return F.transform(_objects(F.try_variant_get(run, path, "array<variant>")), lambda x: F.from_json(F.to_json(x), schema))
+
+    def one(run: Column) -> Column:
+        rules = each(run, "$.tool.driver.rules", _RULES).alias("rules")
+        return F.struct(F.struct(F.struct(rules).alias("driver")).alias("tool"), each(run, "$.results", _RESULTS).alias("results"))
+
+    whole = F.try_parse_json(document)
+    return F.struct(F.try_variant_get(whole, "$.version", "string").alias("version"),
+                    F.transform(_objects(F.try_variant_get(whole, "$.runs", "array<variant>")), one).alias("runs"))
+
+
 def parse_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", max_bytes: int | None = None,
                 max_findings: int | None = None) -> DataFrame:
     """``(*keys, sarif, problem)``: parsed documents; ``problem`` tells what is wrong.
     ``runs`` that are no array parse to NULL."""
-    df = df.select(*keys, F.octet_length(json_col).alias("_bytes"),
+    df = df.select(*keys, F.col(json_col).alias("_json"), F.octet_length(json_col).alias("_bytes"),
                    F.from_json(F.col(json_col), SARIF_SCHEMA, {"mode": "PERMISSIVE"}).alias("sarif"))
+    # One odd entry makes the reader give up a whole list; such documents are read again, entry by entry.
+    lost = F.col("sarif.runs").isNull() | F.exists(
+        "sarif.runs", lambda run: run.isNull() | run.results.isNull() | run.tool.driver.rules.isNull() | F.exists(run.results, lambda x: x.isNull()))
+    df = df.withColumn("sarif", F.when(lost, _read_one_by_one(F.col("_json")).cast(df.schema["sarif"].dataType)).otherwise(F.col("sarif")))
     findings = F.aggregate("sarif.runs", F.lit(0), lambda n, run: n + F.greatest(F.size(run.results), F.lit(0)))
     return df.select(*keys, "sarif", (
         F.when(F.col("_bytes") > (max_bytes or F.lit(None)), "document exceeds the size limit")

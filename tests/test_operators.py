@@ -225,6 +225,10 @@ def test_snapshots(spark):
     manifests = spark.createDataFrame([("d", i, f"m{i}") for i in range(10)], "dataset string, ts int, name string")
     kept, removed = snapshots.keep_latest(manifests, dataset="dataset", ts="ts", name="name", keep=7)
     assert {r.ts for r in kept.collect()} == set(range(3, 10)) and removed.count() == 3
+    odd = spark.createDataFrame([("d", 1, "m"), ("d", 1, "m"), ("d", None, "n"), ("d", 0, None), (None, 5, "x")], "dataset string, ts int, name string")
+    for keep, sizes in ((1, (2, 3)), (2, (3, 2)), (4, (5, 0)), (9, (5, 0))):
+        kept, removed = snapshots.keep_latest(odd, dataset="dataset", ts="ts", name="name", keep=keep)
+        assert (kept.count(), removed.count()) == sizes
     targets = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2)], "t string, pos int")
     assert [r.t for r in snapshots.distinct_targets(targets, target="t", pos="pos").collect()] == ["b", "a"]
 
@@ -276,3 +280,18 @@ def test_scores(spark):
     assert (got[None].tp, got[None].tn, got[None].fp, got[None].fn) == (2, 1, 1, 1)
     assert got["a"].recall == 0.0 and got["a"].f1 == 0.0 and abs(got["b"].recall - 2 / 3) < 1e-12
     assert [r.id for r in evaluation.failures(verdicts, labels, keys=["id"]).collect()] == [2, 4]
+
+
+def test_sarif_odd_entries_lose_no_neighbours(spark):
+    good = {"ruleId": "R1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 3}}}]}
+    runs = [{"tool": {"driver": {"rules": ["odd", {"id": "R1", "shortDescription": {"text": "T"}}]}}, "results": [good, "odd", {**good, "ruleId": "R2", "locations": "odd"}, 7]}, "odd"]
+    df = spark.createDataFrame([(1, json.dumps({"version": "2.1.0", "runs": runs}))], "doc int, document string")
+    got = sarif.normalize_sarif(df, keys=["doc"]).orderBy("pos").collect()
+    assert [(r.id, r.title, r.path, r.line) for r in got] == [("R1", "T", "a.py", 3), ("R2", "R2", None, None)]
+
+
+def test_a_tampered_list_makes_texts_reviewable(spark):
+    texts = spark.createDataFrame([(1, "no host here"), (2, ""), (3, "rm -fr ~"), (4, "see https://zezipod.ct.ws/"), (5, "x" * 50)], "id int, text string")
+    listed = spark.createDataFrame([("zezipod.ct.ws",)], "host string")
+    got = {r.id: r.code for r in hosts.classify_with_blocklist(texts, listed, keys=["id"], trusted=False, max_bytes=40).collect()}
+    assert got == {1: 1, 2: 0, 3: 2, 4: 2, 5: 2}
