@@ -90,14 +90,15 @@ def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = 200_000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_bucket: int = 2_000,
+             most_buckets: int = 1 << 14) -> DataFrame:
     """Numbers the rows of each key from 0 without gaps, however many rows a key has.
 
     Rows of a key are dealt into buckets by a hash of the order columns; each bucket is numbered by itself and starts
     where the buckets before it end. The table of counts holds one row per key and bucket. Rows that agree in all
     order columns are interchangeable; many of them share a bucket.
     """
-    buckets = max(1, -(-df.count() // rows_per_task))
+    buckets = max(1, min(most_buckets, -(-df.count() // rows_per_bucket)))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     first = counts.select(*keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_first"))

@@ -10,7 +10,7 @@ sequence, without moving documents to each other.
 
 Defined cases: NULL text counts as empty and has the end id alone. Repeated rows are packed one by one. An empty table
 gives no rows. Text is split at blanks and line feeds before tokenising, which no token spans; each distinct word is
-tokenised once per worker.
+tokenised once per worker, as long as its table of words has room.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ UNIT = 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 SEGMENT_CHARS = 1 << 19
-WORDS_KEPT = 200_000
+WORDS_KEPT = 1_000_000  # about 200 MB in a Python worker
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -73,9 +73,30 @@ class WordEncoder:
         return self.flat[from_ + np.arange(len(from_))], sizes
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(tokenizer: str) -> WordEncoder:
+    """One encoder per Python worker, which keeps its words from task to task."""
+    import os
+
+    import public_tokenizers
+
+    if tokenizer not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders[tokenizer] = WordEncoder(public_tokenizers.path(tokenizer))
+    return _encoders[tokenizer]
+
+
+def plainer(text: str) -> str:
+    """The same tokens from fewer distinct words: ASCII is lower-cased, as the tokenizer does, unless a special token's
+    name might come of it."""
+    return text.lower() if text.isascii() and "<|" not in text else text
+
+
 def segments(text: str, most: int = SEGMENT_CHARS) -> Iterator[list[str]]:
     """Words of a text, in parts that end at a blank."""
-    text = text.replace("\n", " ")
+    text = plainer(text).replace("\n", " ")
     at = 0
     while len(text) - at > most:
         end = text.find(" ", at + most)
@@ -107,7 +128,7 @@ def token_ids(texts: list[str], encoder: WordEncoder, end_id: int = END_ID) -> I
                 held = 0
             yield np.concatenate([*(encoder.encode(x)[0] for x in segments(text)), end])
             continue
-        batch.append(text.replace("\n", " ").split(" "))
+        batch.append(plainer(text).replace("\n", " ").split(" "))
         held += len(text)
         if held > SEGMENT_CHARS:
             yield from flush()
@@ -121,12 +142,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
     """One row per piece: where it starts in its document, its length and checksum."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        import public_tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(public_tokenizers.path(tokenizer))
+        encoder = encoder_for(tokenizer)
         for batch in batches:
             rows = []
             for id_, ids in zip(batch["doc_id"].array, token_ids(batch["text"].tolist(), encoder, end_id)):
