@@ -67,7 +67,7 @@ def _level(counts: DataFrame, child: str, parent: str | None, means: DataFrame)
     own = own.join(means, parent) if parent else own.join(F.broadcast(means))  # the corpus' mean is one row
     m, n, k = F.col("mean"), F.col("n"), F.col("k")
     noise = n * m * (1 - m)
-    excess = F.sum((k - n * m) * (k - n * m) - noise) / F.sum(noise * (n - 1))
+    excess = F.try_divide(F.sum((k - n * m) * (k - n * m) - noise), F.sum(noise * (n - 1)))
     share = own.agg(F.least(F.lit(0.9), F.greatest(F.lit(0.0001), F.coalesce(excess, F.lit(0.0001)))).alias("rho"))
     joined = own.join(F.broadcast(share))  # one row
     strength = (1 - F.col("rho")) / F.col("rho")
