@@ -71,3 +71,15 @@ def test_guard_stream(spark, sf, folder):
     guard_stream(stream, f"{folder}/ok", f"{folder}/no", f"{folder}/cp", keys=["conv_id", "turn"]).awaitTermination()
     ok, no = spark.read.parquet(f"{folder}/ok"), spark.read.parquet(f"{folder}/no")
     assert ok.count() + no.count() == df.count() and no.filter(F.col("code") == 0).count() == 0 and no.count() > 10
+
+
+def test_streams_read_tables_that_are_folders(spark, sf, folder):
+    for name, parts in (("events", 2), ("nation", None)):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        if parts:
+            df.repartition(parts).write.parquet(f"{folder}/sf/{name}.parquet")
+        where = f"{folder}/sf" if parts else sf
+        out, cp = f"{folder}/out-{name}", f"{folder}/cp-{name}"
+        stream = views.table(spark, where, name, streaming=True)
+        stream.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+        assert spark.read.parquet(out).count() == df.count()
