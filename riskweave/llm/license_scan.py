@@ -3,7 +3,8 @@
 Templates are short phrases and notices. Every rolling pair of document words is joined by its hash to the template
 positions that hold the same pair (the words are compared on a hit). A hit votes for the diagonal document position
 minus template position; votes are counted per diagonal, neighbouring diagonals (words put in or left out) are merged,
-and a merged span is verified: enough distinct template positions, in a span not much longer than the template.
+and every window of a merged span that is not much longer than the template is verified: enough distinct template
+positions in it. A list that repeats a phrase is one merged span with a window for each.
 
 The base phrases are templates too: a phrase stands where one diagonal has a vote of each of its pairs. Templates are
 code, a few hundred pairs, so they are broadcast. Only votes are shuffled.
@@ -65,17 +66,18 @@ def votes(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: s
     return hits.groupBy(*by, (F.col("_at") - F.col("_tpos")).alias("_diagonal")).agg(F.collect_set("_tpos").alias("_seen"))
 
 
-def spans(voted: DataFrame) -> DataFrame:
-    """Neighbouring diagonals merged: one row per document, template and span, with its coverage and length."""
+def spans(voted: DataFrame, longest: int) -> DataFrame:
+    """Neighbouring diagonals merged: one row per vote, with the coverage of the window that starts there, at most
+    STRETCH times the template. `longest`: pairs of the longest template."""
     own = W.partitionBy("_id", "_key", "_template").orderBy("_diagonal")
     gap = F.col("_diagonal") - F.lag("_diagonal").over(own)
     marked = voted.withColumn("_new", F.when(gap <= DRIFT, 0).otherwise(1)).withColumn("_span", F.sum("_new").over(own))
-    by = ["_id", "_key", "_template", "_label", "_pairs", "_span"]
-    merged = marked.groupBy(*by).agg(
-        F.array_distinct(F.flatten(F.collect_set("_seen"))).alias("_seen"),
-        F.min(F.col("_diagonal") + F.array_min("_seen")).alias("_from"),
-        F.max(F.col("_diagonal") + F.array_max("_seen")).alias("_to"))
-    return merged.select("_id", "_key", "_template", "_label", "_from", "_to", "_pairs", (F.size("_seen") / F.col("_pairs")).alias("_coverage"))
+    each = marked.withColumn("_tpos", F.explode("_seen")).withColumn("_from", F.col("_diagonal") + F.col("_tpos"))
+    window = W.partitionBy("_id", "_key", "_template", "_span").orderBy("_from").rangeBetween(0, int(STRETCH * longest))
+    near = each.withColumn("_near", F.collect_set(F.struct(F.col("_from").alias("at"), F.col("_tpos").alias("tpos"))).over(window)).withColumn(
+        "_near", F.filter("_near", lambda x: x["at"] - F.col("_from") <= STRETCH * F.col("_pairs")))
+    return near.select("_id", "_key", "_template", "_label", "_from", F.array_max("_near.at").alias("_to"), "_pairs",
+                       (F.size(F.array_distinct("_near.tpos")) / F.col("_pairs")).alias("_coverage"))
 
 
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE, own=OWN) -> DataFrame:
@@ -83,8 +85,8 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     voted = votes(docs, template_pairs(docs.sparkSession, base, own), doc_id, text)
     places = voted.where(F.col("_is_base") & (F.size("_seen") == F.col("_pairs"))).select(
         "_id", "_key", F.col("_diagonal").alias("_place"), F.col("_label").alias("_base_label"), F.col("_label").alias("_any_label"), F.lit(1.0).alias("_score"))
-    verified = spans(voted.where(~F.col("_is_base"))).where(
-        (F.col("_coverage") >= COVERAGE) & (F.col("_to") - F.col("_from") + 1 <= STRETCH * F.col("_pairs") + 1))
+    longest = max((len(phrase.split()) - 1 for phrase, _ in own), default=0)
+    verified = spans(voted.where(~F.col("_is_base")), longest).where(F.col("_coverage") >= COVERAGE)
     own_labels = verified.select("_id", "_key", F.lit(None).cast("int").alias("_place"), F.lit(None).cast("string").alias("_base_label"),
                                  F.col("_label").alias("_any_label"), F.col("_coverage").alias("_score"))
     found = places.unionByName(own_labels).groupBy("_id", "_key").agg(

@@ -372,6 +372,13 @@ def test_licenses(spark, odd, none):
     assert license_scan.find_licenses(odd).count() == odd.count() and license_scan.find_licenses(none).count() == 0
 
 
+def test_lists_of_licenses(spark):
+    texts = {1: "CC BY-NC, CC BY-SA, CC BY-ND", 2: "CC BY-SA, CC BY-NC", 3: "Mozilla Public License Mozilla Public License", 4: "cc by and more by nc",
+             5: "GNU General Public License version 2, GNU General Public License version 3"}
+    got = {r["doc_id"]: r["labels"] for r in rows_of(license_scan.find_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))}
+    assert got == {1: "cc-by,cc-by-nc,cc-by-nd,cc-by-sa", 2: "cc-by,cc-by-nc,cc-by-sa", 3: "mpl", 4: "cc-by", 5: "gpl,gpl-2.0,gpl-3.0"}
+
+
 # --- language model --------------------------------------------------------
 
 def test_scores(spark, odd, none):
