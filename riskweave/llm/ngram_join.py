@@ -162,11 +162,13 @@ def linked(texts: list[str], sides: np.ndarray | None, threshold: float, n: int
 
 
 def _verify(threshold: float, n: int):
-    def block(rows: list[tuple]) -> Iterator[tuple]:
-        """rows: _key, _chunk, _text of one block."""
+    def block(rows: list[tuple], across: bool) -> Iterator[tuple]:
+        """rows: _key, _chunk, _text of one block. Across two chunks, links within either belong to its own block."""
         rows = list({r[0]: r for r in rows}.values())
         chunks = np.array([r[1] for r in rows])
-        links = linked([r[2] for r in rows], chunks if chunks.min() != chunks.max() else None, threshold, n)
+        if across and chunks.min() == chunks.max():
+            return
+        links = linked([r[2] for r in rows], chunks if across else None, threshold, n)
         keys = [r[0] for r in rows]
         label = np.argsort(np.argsort(np.array(keys, dtype=object)))  # ranks of the keys
         by_rank = sorted(keys)
@@ -186,14 +188,14 @@ def _verify(threshold: float, n: int):
             for group, lo, hi, key, chunk, text in zip(batch["_group"], batch["_lo"], batch["_hi"], batch["_key"], batch["_chunk"], batch["_text"]):
                 if (group, lo, hi) != now:
                     if len(held) > 1:
-                        out += block(held)
+                        out += block(held, now[1] != now[2])
                     now, held = (group, lo, hi), []
                 held.append((bytes(key), chunk, text))
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["_key", "_links", "_near"])
                 out = []
         if len(held) > 1:
-            out += block(held)
+            out += block(held, now[1] != now[2])
         yield pd.DataFrame(out, columns=["_key", "_links", "_near"])
 
     return run

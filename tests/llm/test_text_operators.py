@@ -328,6 +328,17 @@ def test_large_groups_are_verified_in_blocks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got), key=repr) == brute_classes(rows)
 
 
+def test_few_long_texts_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 1000)
+    rows = []
+    for group in range(24):  # two or three near copies, each longer than half a chunk: many chunks are empty
+        words = prose(3000 + group, 90).split()
+        rows += [(len(rows) + i, " ".join([*words, f"end{i}"])) for i in range(2 + group % 2)]
+    assert all(500 < len(t) < 1000 for _, t in rows)
+    got = rows_of(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got), key=repr) == brute_classes(rows)
+
+
 def test_one_of_each_stays(spark, odd):
     out = ngram_join.keep_one_of_each(odd)
     assert out.columns == odd.columns
