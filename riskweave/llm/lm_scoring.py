@@ -7,13 +7,15 @@ weights that a gate selects (how often the longest context was seen, and where i
 result is refined by an adaptive probability map. The sum over all decisions is the text's probability.
 
 Counts come from all training documents: tokens with the kind of token before them are counted in tasks and summed by
-Spark, and the context counts are sums over that table. Context tables have a fixed number of slots and are broadcast.
-The mixing weights and the map are learned online, decision by decision in small batches, on a bounded sample of
-`SAMPLE_TEXTS` training texts (first by hash, `SAMPLE_TOKENS` tokens), each decision's own count taken off first, so
-that rare contexts are weighted as they will be for new text.
+Spark. Tokens are spelled into nodes (a prefix and the byte after it); a table of all nodes, keyed by the full hash of
+the prefix, and a table of all short contexts hold the counts, so both grow with the corpus and nothing shares a slot.
+The mixing weights and the map are learned from all training tokens: in each of `PASSES` passes over the nodes, tasks
+add up gradients and second derivatives of each gate, each node as often as its token stood there, and the weights take
+a Newton step. Each decision's own count is taken off first, so that rare contexts are weighted as they will be for new
+text. Every distinct token is scored once, in Spark, and joined to the texts.
 
-The plain unigram score goes by the exact counts of all tokens. Counts of the `HEAD` most frequent tokens are
-broadcast; all others are joined by Spark from the complete table, so no count is left out.
+The plain unigram score goes by the exact counts of all tokens. Counts and scores of the `HEAD` most frequent tokens
+are broadcast; all others are joined by Spark from the complete table, so no count is left out.
 
 Defined cases: NULL text is empty and has the end alone. A NULL id is neither learned from nor held out. Repeated rows
 are scored alike (and learned from as often as they stand). With nothing learned from, counts are 0.
@@ -34,9 +36,8 @@ from .hashing import mixed, prefix_hashes
 
 FOLDS, HELD = 7, 2
 HEAD = 200_000
-SLOT_BITS = 18
-SAMPLE_TEXTS = 300
-SAMPLE_TOKENS = 60_000
+SLOT_BITS = 18  # of Mixer, the form in memory that learns online
+PASSES = 4
 WORDS_KEPT = 300_000
 END = b"\n"
 KINDS = 4  # of the token before: none, end of a sentence, a comma or the like, any other
@@ -166,31 +167,218 @@ class Decisions:
             node = node * 2 + bit
 
 
-def count_contexts(counts: DataFrame) -> np.ndarray:
-    """Counts [predictor, slot, bit] of all decisions in the corpus: a fixed number of slots, whatever its size."""
-    size = PREDICTORS << (SLOT_BITS + 1)
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """One row per token: how often it was learned after each kind of token (n0 to n3)."""
+    return counts.groupBy("token").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(KINDS)))
+
+
+def _spelled(tokens: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each byte of the tokens: its token, the hash of the bytes before it, the last three of them, its place, itself."""
+    whole = [t if t == END else t + b" " for t in tokens]
+    sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+    data = np.frombuffer(b"".join(whole), np.uint8)
+    of = np.repeat(np.arange(len(whole)), sizes)
+    first = (np.cumsum(sizes) - sizes)[of]
+    place = np.arange(len(data)) - first
+    three = np.zeros(len(data), np.int64)
+    for k in (1, 2, 3):
+        three = three * 257 + np.where(place >= k, np.concatenate([np.zeros(k, np.int64), data[:-k].astype(np.int64) + 1])[: len(data)], 0)
+    return of, prefix_hashes(data, first).view(np.int64), three, np.minimum(7, place), data.astype(np.int64)
+
+
+def _nodes(words: DataFrame) -> DataFrame:
+    """Rows own, three, place, byte (a node), n0 to n3 (how often learned)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            of, own, three, place, byte = _spelled(batch.column(0).to_pylist())
+            order = np.lexsort((byte, own))
+            new = np.flatnonzero(np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (byte[order][1:] != byte[order][:-1])]))
+            at = order[new]
+            n = [np.add.reduceat(batch.column(1 + k).to_numpy()[of][order], new) for k in range(KINDS)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), pa.array(three[at].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(byte[at].astype(np.int32)), *map(pa.array, n)],
+                names=["own", "three", "place", "byte", "n0", "n1", "n2", "n3"])
+
+    found = words.select("token", "n0", "n1", "n2", "n3").mapInArrow(run, "own long, three int, place int, byte int, n0 long, n1 long, n2 long, n3 long")
+    return found.groupBy("own", "three", "place", "byte").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS)))
+
+
+def _paths(group: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each group goes on with the first 0, 1, .. 8 bits of the byte, for each row."""
+    out = np.empty((len(byte), 9))
+    for k in range(9):
+        key = (group << k) + (byte >> (8 - k))
+        out[:, k] = np.bincount(key, weights=n)[key]
+    return out
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    rows = batch.column(name)
+    return np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy())), rows.flatten()
+
+
+def _floats(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+
+
+def _short_contexts(nodes: DataFrame) -> DataFrame:
+    """Rows three, byte, near: the paths of the last one, two and three bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                of, each = _lists(batch, "each")
+                byte = each.field("byte").to_numpy()
+                near = _paths(of, byte.astype(np.int64), each.field("n").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("ctx").take(pa.array(of)), pa.array(byte), _floats(near)], names=["ctx", "byte", "near"])
+
+    def paths(df: DataFrame, name: str) -> DataFrame:
+        listed = df.groupBy("ctx", "byte").agg(F.sum("n").alias("n")).groupBy("ctx").agg(F.collect_list(F.struct("byte", "n")).alias("each"))
+        return listed.mapInArrow(run, "ctx int, byte int, near array<float>").withColumnsRenamed({"ctx": name, "near": f"_{name}"})
+
+    each = c.materialise(nodes.groupBy(F.col("three").alias("ctx"), "byte").agg(F.sum(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).alias("n")))
+    last = {name: paths(each.withColumn("ctx", F.floor(F.col("ctx") / over).cast("int")), name) for name, over in (("one", 257 * 257), ("two", 257), ("three", 1))}
+    both = last["three"].withColumn("one", F.floor(F.col("three") / (257 * 257)).cast("int")).withColumn("two", F.floor(F.col("three") / 257).cast("int"))
+    return both.join(last["two"], ["two", "byte"]).join(last["one"], ["one", "byte"]).select("three", "byte", F.concat("_one", "_two", "_three").alias("near"))
+
+
+def count_contexts(words: DataFrame) -> DataFrame:
+    """All nodes with the counts of all their contexts: own, byte, place, n (learned, by kind), near (paths of the last
+    one, two and three bytes), far (paths of the whole prefix, then of the prefix after each kind)."""
+    nodes = c.materialise(_nodes(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                of, each = _lists(batch, "each")
+                byte = each.field("byte").to_numpy()
+                n = np.stack([each.field(f"n{k}").to_numpy() for k in range(KINDS)], axis=1)
+                far = [_paths(of, byte.astype(np.int64), x) for x in (n.sum(axis=1), *n.T)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name).take(pa.array(of)) for name in ("own", "three", "place")), pa.array(byte), _floats(n), _floats(np.concatenate(far, axis=1))],
+                    names=["own", "three", "place", "byte", "n", "far"])
+
+    listed = nodes.groupBy("own", "three", "place").agg(F.collect_list(F.struct("byte", "n0", "n1", "n2", "n3")).alias("each"))
+    counted = listed.mapInArrow(run, "own long, three int, place int, byte int, n array<float>, far array<float>")
+    short = c.materialise(_short_contexts(nodes))
+    return c.materialise(counted.join(c.sized(short, 100_000), ["three", "byte"]).drop("three"))
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """byte, place, n [kind, row], near [predictor, bits, row], far [own or kind, bits, row] of a batch of nodes."""
+    size = len(batch)
+    n, near, far = (batch.column(x).flatten().to_numpy().reshape(size, *shape).T.astype(float) for x, shape in (("n", (KINDS,)), ("near", (27,)), ("far", (45,))))
+    return batch.column("byte").to_numpy().astype(np.int64), batch.column("place").to_numpy().astype(np.int64), n, near.reshape(3, 9, size), far.reshape(5, 9, size)
+
+
+def _toward(all_: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The stretched logit of the bit that follows, `same` of `all_` times."""
+    return np.log((same + 0.02) / (all_ - same + 0.02)) * (all_ / (all_ + 0.5))
+
+
+def _gate(total: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.minimum(7, np.log2(total + 1).astype(np.int64)) * 4 + np.minimum(3, place)
+
+
+def _cell(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.minimum(7, place) * Mixer.CELLS + np.rint((np.clip(x, -8, 8) + 8) * 2).astype(np.int64)
+
+
+def _sums(nodes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradient and second derivatives by gate, the loss, and how often each cell of the map was met and with a 1."""
+    pairs = [(i, j) for i in range(PREDICTORS) for j in range(i + 1)]
+    sizes = [GATES * PREDICTORS, GATES * len(pairs), 1, 8 * Mixer.CELLS, 8 * Mixer.CELLS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((PREDICTORS, size // PREDICTORS))
+        slope, curve, loss, met, ones = (np.zeros(size) for size in sizes)
+        slope, curve = slope.reshape(PREDICTORS, GATES), curve.reshape(len(pairs), GATES)
         for batch in batches:
-            names, kinds, times = (batch.column(i) for i in range(3))
-            for first in range(0, len(names), 50_000):
-                part = slice(first, first + 50_000)
-                what = Decisions(names.slice(first, 50_000).to_pylist(), kinds.to_numpy()[part])
-                weight = times.to_numpy()[part].astype(float)[what.of]
-                for bit, at in what:
-                    for i, slot in enumerate(at):
-                        total[i] += np.bincount((slot << 1) + bit, weights=weight, minlength=total.shape[1])
-        total = total.ravel()
-        at = np.flatnonzero(total)
-        for first in range(0, len(at), 100_000):
-            own = at[first : first + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], names=["slot", "n"])
-
-    summed = counts.select("token", "kind", "n").mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.float32)
-    out[summed["slot"].to_numpy()] = summed["n"].to_numpy()
-    return out.reshape(PREDICTORS, 1 << SLOT_BITS, 2)
+            if not len(batch):
+                continue
+            byte, place, n, near, far = _read(batch)
+            kind, row = np.nonzero(n)
+            if not len(row):
+                continue
+            times, byte, place = n[kind, row], byte[row], place[row]
+            paths = np.concatenate([near[:, :, row], far[0][None, :, row], far[1 + kind, :, row].T[None]]) - 1  # the own count is off
+            for k in range(8):
+                x = _toward(np.maximum(paths[:, k], 0), np.maximum(paths[:, k + 1], 0))
+                gate = _gate(np.maximum(paths[3, k], 0), place)
+                mixed_ = (weights[gate].T * x).sum(axis=0)
+                p = _logistic(mixed_)
+                loss -= (times * np.log(p)).sum()
+                part = times * (1 - p)
+                for i in range(PREDICTORS):
+                    slope[i] += np.bincount(gate, weights=part * x[i], minlength=GATES)
+                part *= p
+                for at, (i, j) in enumerate(pairs):
+                    curve[at] += np.bincount(gate, weights=part * x[i] * x[j], minlength=GATES)
+                bit = (byte >> (7 - k)) & 1
+                cell = _cell(np.where(bit == 1, mixed_, -mixed_), place)
+                met += np.bincount(cell, weights=times, minlength=len(met))
+                ones += np.bincount(cell, weights=times * bit, minlength=len(ones))
+        out = np.concatenate([slope.ravel(), curve.ravel(), loss, met, ones])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["at", "x"])
+
+    found = nodes.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(sum(sizes))
+    out[found["at"].to_numpy()] = found["x"].to_numpy()
+    slope, curve, loss, met, ones = np.split(out, np.cumsum(sizes)[:-1])
+    square = np.zeros((GATES, PREDICTORS, PREDICTORS))
+    for x, (i, j) in zip(curve.reshape(len(pairs), GATES), pairs):
+        square[:, i, j] = square[:, j, i] = x
+    return slope.reshape(PREDICTORS, GATES).T, square, float(loss[0]), met, ones
+
+
+class Mixture:
+    """Weights by gate and the map, learned from all nodes."""
+
+    def __init__(self, words: DataFrame, nodes: DataFrame):
+        self.words, self.nodes = words, nodes
+        self.weights, self.loss, self.losses = np.full((GATES, PREDICTORS), 0.3), math.inf, []
+        plain = np.tile(_logistic(np.linspace(-8, 8, Mixer.CELLS)), 8)
+        tried = self.weights
+        for _ in range(PASSES):
+            slope, square, loss, met, ones = _sums(nodes, tried)
+            self.losses.append(loss)
+            if loss < self.loss:
+                self.weights, self.loss, self.map = tried, loss, (ones + 2 * plain) / (met + 2)
+                step = np.linalg.solve(square + np.eye(PREDICTORS), (slope - (tried - 0.3))[:, :, None])[:, :, 0]
+            else:
+                step = step / 4
+            tried = self.weights + np.clip(step, -1, 1)
+
+    def log10(self, words: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows token, p0 to p3: the log10 probability of each token after each kind of token."""
+        weights, refined = self.weights, self.map
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                byte, place, _, near, far = _read(batch)
+                out = np.zeros((KINDS, len(byte)))
+                for k in range(8):
+                    bit = (byte >> (7 - k)) & 1
+                    own = weights[_gate(far[0, k], place)].T
+                    base = (own[:3] * _toward(near[:, k], near[:, k + 1])).sum(axis=0) + own[3] * _toward(far[0, k], far[0, k + 1])
+                    for kind in range(KINDS):
+                        x = base + own[4] * _toward(far[1 + kind, k], far[1 + kind, k + 1])
+                        later = refined[_cell(np.where(bit == 1, x, -x), place)]
+                        out[kind] += np.log10(np.clip((_logistic(x) + np.where(bit == 1, later, 1 - later)) / 2, 1e-7, 1 - 1e-7))
+                yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("byte"), *map(pa.array, out)], names=["own", "byte", "p0", "p1", "p2", "p3"])
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    of, own, _, _, byte = _spelled(batch.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(own), pa.array(byte.astype(np.int32))], names=["id", "own", "byte"])
+
+        judged = nodes.mapInArrow(run, "own long, byte int, p0 double, p1 double, p2 double, p3 double")
+        steps = words.select(F.xxhash64("token").alias("id"), "token").mapInArrow(spell, "id long, own long, byte int")
+        sums = steps.join(judged, ["own", "byte"]).groupBy("id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(KINDS)))
+        return words.select("token", F.xxhash64("token").alias("id")).join(sums, "id").drop("id")
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -202,7 +390,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Context counts, mixing weights by gate, and the probability map that refines the result."""
+    """The mixture in memory, on hashed slots and learning online: what `Mixture` is held against on small data."""
 
     CELLS = 33
 
@@ -273,7 +461,7 @@ class Mixer:
 
 
 class Model:
-    def __init__(self, mixer: Mixer, head: dict[bytes, int], total: int, distinct: int):
+    def __init__(self, mixer: Mixture, head: dict[bytes, int], total: int, distinct: int):
         self.mixer, self.head, self.total, self.distinct = mixer, head, total, distinct
 
     @property
@@ -282,82 +470,96 @@ class Model:
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the complete table of token counts."""
-    usable = docs.where(learned(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counts = c.materialise(count_tokens(usable))
+    """The model, and the complete table of token counts. Tokens of all other documents are spelled along, without counts."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = c.materialise(count_tokens(own.where(learned(F.col("doc_id")))))
     tokens = c.materialise(counts.groupBy("token").agg(F.sum("n").alias("c")))
     whole = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head = tokens.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    mixer = Mixer(count_contexts(counts))
-    sample = usable.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_TEXTS).select("text").collect()
-    words, parts, n = Vocabulary(), [], 0
-    for row in sample:
-        own = tokens_of(row["text"])[: SAMPLE_TOKENS - n]
-        numbers = words.number(own)
-        parts.append((own, kinds_before(numbers, words.kind, np.array([len(own)])) if own else np.empty(0, np.int64)))
-        n += len(own)
-    if parts:
-        mixer.learn([t for own, _ in parts for t in own], np.concatenate([k for _, k in parts]))
+    words = c.materialise(vocabulary(counts.unionByName(_unlearned(own.where(~learned(F.col("doc_id")))))))
+    mixer = Mixture(words, count_contexts(words))
     return Model(mixer, dict(zip(head["token"].to_pylist(), head["c"].to_pylist())), whole["n"], whole["v"]), tokens
 
 
-def score(docs: DataFrame, model: Model, tokens: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _unlearned(docs: DataFrame) -> DataFrame:
+    return count_tokens(docs).withColumn("n", F.lit(0).cast("bigint"))
+
+
+def score(docs: DataFrame, model: Model, tokens: DataFrame, doc_id: str = "doc_id", text: str = "text", spelled: bool = False) -> DataFrame:
+    """`spelled`: the documents are those that were given to `train`, so all their tokens are spelled already."""
+    words, nodes = model.mixer.words, model.mixer.nodes
+    if not spelled:
+        more = _unlearned(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).select("token", *(F.col("n").alias(f"n{k}") for k in range(KINDS)))
+        words = c.materialise(words.unionByName(more).groupBy("token").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS))))
+        nodes = count_contexts(words)
+    judged = c.materialise(model.mixer.log10(words, nodes).join(tokens, "token", "left").select(
+        "token", F.coalesce("c", F.lit(0)).alias("c"), F.array(*(f"p{k}" for k in range(KINDS))).alias("p")))
+    wanted = docs.sparkSession.createDataFrame(pa.table({"token": pa.array(list(model.head), pa.binary())}))
+    found = judged.join(F.broadcast(wanted), "token").select("token", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(KINDS))).toArrow()
+    names = found["token"].to_pylist()
+    head = {t: i for i, t in enumerate(names)}
+    logs = np.stack([found[f"p{k}"].to_numpy() for k in range(KINDS)], axis=1)
+    own_counts = np.fromiter((model.head[t] for t in names), np.int64, len(names))
+    scale = model.scale
+    shared = docs.sparkSession.sparkContext.broadcast((head, logs, own_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model = shared.value
+        head, logs, own_counts = shared.value
+        logs, base_logs = np.concatenate([logs, np.zeros((1, KINDS))]), np.append(np.log10((own_counts + 1) / scale), 0)  # the last: not among them
         words = Vocabulary()
-        counts, cached = np.empty(0, np.int64), np.empty((0, KINDS))
+        places = np.empty(0, np.int64)
         row = TaskContext.get().partitionId() << 33
 
         for batch in batches:
             for first, tokens, sizes in batches_of(batch.column("text").to_pylist()):
                 if len(words.names) > words.kept:
                     words.clear()
-                    counts, cached = counts[:0], cached[:0]
+                    places = places[:0]
                 numbers = words.number(tokens)
-                new = words.names[len(counts):]
-                counts = np.concatenate([counts, np.fromiter((model.head.get(t, -1) for t in new), np.int64, len(new))])
-                cached = np.concatenate([cached, np.full((len(new), KINDS), np.nan)])
+                new = words.names[len(places):]
+                places = np.concatenate([places, np.fromiter((head.get(t, len(head)) for t in new), np.int64, len(new))])
                 kinds = kinds_before(numbers, words.kind, sizes)
-                missing = np.unique((numbers * KINDS + kinds)[np.isnan(cached[numbers, kinds])])
-                if len(missing):
-                    cached.ravel()[missing] = model.mixer.log10([words.names[i] for i in missing // KINDS], missing % KINDS)
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                own = counts[numbers]
-                known = own >= 0
-                base = np.bincount(of, weights=np.where(known, np.log10((np.maximum(own, 0) + 1) / model.scale), 0), minlength=len(sizes))
-                rest, times = np.unique(of[~known] * len(words.names) + numbers[~known], return_counts=True)
-                ends = np.searchsorted(rest // len(words.names), np.arange(len(sizes) + 1))
+                own = places[numbers]
+                known = own < len(head)
+                base = np.bincount(of, weights=base_logs[own], minlength=len(sizes))
+                total = np.bincount(of, weights=logs[own, kinds], minlength=len(sizes))
+                width = len(words.names) * KINDS
+                rest, times = np.unique(of[~known] * width + numbers[~known] * KINDS + kinds[~known], return_counts=True)
+                ends = np.searchsorted(rest // width, np.arange(len(sizes) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values) for values in (
-                    pa.array([words.names[i] for i in rest % len(words.names)], pa.binary()), pa.array(times, pa.int64()))]
+                    pa.array([words.names[i] for i in rest % width // KINDS], pa.binary()), pa.array(rest % KINDS, pa.int32()), pa.array(times, pa.int64()))]
                 texts = batch.column("text").slice(first, len(sizes))
-                size = np.array([len((t or "").encode()) for t in texts.to_pylist()])
-                total = np.bincount(of, weights=cached[numbers, kinds], minlength=len(sizes))
+                size = np.array([len((t or "").encode()) for t in texts.to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(sizes)), pa.int64()), batch.column("doc_id").slice(first, len(sizes)),
-                     batch.column("held_out").slice(first, len(sizes)), pa.array(sizes, pa.int64()),
-                     pa.array(np.bincount(of, weights=known, minlength=len(sizes)).astype(np.int64)), pa.array(base), pa.array(total),
-                     pa.array(-total / math.log10(2) / np.maximum(size, 1)), *lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "bits_per_byte", "rest", "times"])
+                     batch.column("held_out").slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(size),
+                     pa.array(np.bincount(of, weights=known, minlength=len(sizes)).astype(np.int64)), pa.array(base), pa.array(total), *lists],
+                    names=["row", "doc_id", "held_out", "n_tokens", "size", "known", "base", "total", "rest", "kinds", "times"])
                 row += len(sizes)
 
     own = docs.select(F.col(doc_id).cast("string").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scored = c.materialise(own.mapInArrow(
-        run, "row long, doc_id string, held_out boolean, n_tokens long, known long, base double, score double, bits_per_byte double, rest array<binary>, times array<long>"))
-    tail = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
-    found = tail.join(tokens, "token", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(model.scale))
-    more = found.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0)).alias("also"))
+        run, "row long, doc_id string, held_out boolean, n_tokens long, size long, known long, base double, total double, "
+             "rest array<binary>, kinds array<int>, times array<long>"))
+    tail = scored.select("row", F.explode(F.arrays_zip("rest", "kinds", "times")).alias("x")).select(
+        "row", F.col("x.rest").alias("token"), F.col("x.kinds").alias("kind"), F.col("x.times").alias("times"))
+    found = tail.join(judged, "token")
+    log = F.log10((F.col("c") + 1) / F.lit(scale))
+    more = found.groupBy("row").agg(
+        F.sum(F.col("times") * log).alias("more"), F.sum(F.col("times") * F.get("p", F.col("kind"))).alias("further"),
+        F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("times"))), F.lit(0)).alias("also"))
+    total = F.col("total") + F.coalesce("further", F.lit(0.0))
     return scored.join(more, "row", "left").select(
         F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), "held_out", "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), total.alias("score"),
+        (-total / math.log10(2) / F.greatest("size", F.lit(1))).alias("bits_per_byte"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     model, tokens = train(docs)
-    return score(docs, model, tokens)
+    return score(docs, model, tokens, spelled=True)

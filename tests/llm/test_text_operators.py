@@ -439,6 +439,29 @@ def test_the_mixture_is_a_distribution_and_learns():
     assert 0.9 < np.exp2(first).sum() <= 1 + 1e-9  # all first bytes but the end
 
 
+def test_contexts_are_counted_exactly_and_all_tokens_are_learned_from(spark):
+    rng = np.random.default_rng(5)
+    names = sorted({bytes(rng.integers(97, 123, 8).astype(np.uint8)) for _ in range(40_000)})  # more prefixes than slots
+    words = spark.createDataFrame([(bytearray(t), 1, 0, 0, i % 3) for i, t in enumerate(names)], "token binary, n0 long, n1 long, n2 long, n3 long")
+    nodes = lm_scoring.count_contexts(words)
+    exact, last = Counter(), Counter()
+    for i, t in enumerate(names):
+        for k in range(9):
+            exact[t[:k], (t + b" ")[k]] += 1 + i % 3
+            last[t[max(0, k - 1):k], (t + b" ")[k]] += 1 + i % 3
+    assert nodes.count() == len(exact) > 1 << 17
+    rows = nodes.selectExpr("far[0] a", "far[8] b", "near[8] c").collect()
+    before = Counter()
+    for (t, _), n in exact.items():
+        before[t] += n
+    assert Counter((r["a"], r["b"]) for r in rows) == Counter((before[t], n) for (t, _), n in exact.items())
+    assert Counter(r["c"] for r in rows) == Counter(last[t[-1:], b] for t, b in exact)
+    mixture = lm_scoring.Mixture(words, nodes)
+    assert mixture.loss < mixture.losses[0]
+    met = lm_scoring._sums(nodes, mixture.weights)[3]
+    assert met.sum() == 8 * sum(exact.values())  # every decision of every token
+
+
 # --- decontamination -------------------------------------------------------
 
 def test_decontamination_against_brute_force(spark, odd, items, none):
