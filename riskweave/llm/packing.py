@@ -179,6 +179,25 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row pivots, in plain array operations: threaded linear algebra may hang in a driver
+    that holds a Spark session."""
+    n = len(basis)
+    both = np.hstack([basis, np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0
+        both -= factors[:, None] * both[i]
+    return both[:, n:]
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def patterns_for(demand: dict[int, int], capacity: int, gap: float = 5e-4, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """Patterns (items per size) with how often each is used; together they hold exactly the demand.
 
@@ -191,12 +210,12 @@ def patterns_for(demand: dict[int, int], capacity: int, gap: float = 5e-4, round
         return []
     need = np.array([demand[int(s)] for s in sizes], float)
     basis = np.diag(capacity // sizes).astype(float)  # a column per pattern
-    inverse, x = np.linalg.inv(basis), need / np.diag(basis)
+    inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
     for done in range(1, rounds):
         value, column = price(inverse.sum(axis=0), sizes, capacity)  # the duals: each pattern costs one sequence
         if value <= 1 + gap:
             break
-        step = inverse @ column
+        step = times(inverse, column)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         x = np.maximum(x - ratio[out] * step, 0)
@@ -205,15 +224,16 @@ def patterns_for(demand: dict[int, int], capacity: int, gap: float = 5e-4, round
         if done % 100:
             inverse[out] /= step[out]
             step[out] = 0
-            inverse -= np.outer(step, inverse[out])
+            inverse -= step[:, None] * inverse[out]
         else:  # afresh, so that rounding errors do not add up
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
+            inverse = inverse_of(basis)
+            x = np.maximum(times(inverse, need), 0)
     used = np.floor(x + 1e-7).astype(np.int64)
     columns = np.rint(basis).astype(np.int64)
-    left = need.astype(np.int64) - columns @ used
+    left = need.astype(np.int64) - times(columns, used)
     while (left < 0).any():  # rounding up by an epsilon went too far
-        worst = int(np.argmax((columns[int(np.argmin(left))] > 0) * np.maximum(used, 0)))
+        worst = int(np.argmax((columns[int(np.argmin(left))] > 0) * used))
+        assert used[worst] > 0 and columns[int(np.argmin(left)), worst] > 0, "a class is overfilled by no pattern"
         used[worst] -= 1
         left = left + columns[:, worst]
     out = [({int(s): int(a) for s, a in zip(sizes, columns[:, j]) if a}, int(used[j])) for j in range(len(sizes)) if used[j]]
