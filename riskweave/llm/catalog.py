@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_reputation, language_id, license_scan, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding
+from . import conversation_repair, decontaminate, host_reputation, language_id, license_scan, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         line_dedup.op1_line_dedup, language_id.op2_language_id, sharding.op3_sharding, packing.op4_packing, ngram_join.op5_ngram_join,
         host_reputation.op6_host_reputation, license_scan.op7_license_scan, quality_rules.op8_quality_rules, lm_scoring.op9_lm_scoring,
-        decontaminate.op10_decontaminate)}
+        decontaminate.op10_decontaminate, conversation_repair.op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
