@@ -11,6 +11,9 @@ _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 SEGMENT = 1 << 20
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = _WORD_BYTE[0x80:] = True
+#: Bytes of words between white space.
+SPACED_BYTE = np.ones(256, bool)
+SPACED_BYTE[0x09:0x0E] = SPACED_BYTE[0x20] = False
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -40,10 +43,10 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed((sums[:-1] - sums[starts]) * _to_power("down", _P_INVERSE, n)[starts])
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each plain word (lower-cased A-Z) of UTF-8 bytes."""
+def word_hashes(data: bytes, word_byte: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word (plain ones, if no other bytes are named; lower-cased A-Z) of UTF-8 bytes."""
     raw = np.frombuffer(data.lower(), np.uint8)
-    inside = np.concatenate([[False], _WORD_BYTE[raw], [False]])
+    inside = np.concatenate([[False], word_byte[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edges[::2], edges[1::2]
     if not len(first):
@@ -53,12 +56,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[last] - sums[first]) * _to_power("down", _P_INVERSE, len(raw))[first]), first
 
 
-def text_word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
+def text_word_hashes(texts: list[str], word_byte: np.ndarray = _WORD_BYTE) -> Iterator[np.ndarray]:
     """Word hashes of each text. Short texts are hashed together, long ones in parts that end between words."""
     batch: list[bytes] = []
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, first = word_hashes(b" ".join(batch))
+        hashes, first = word_hashes(b" ".join(batch), word_byte)
         ends = np.cumsum([len(x) + 1 for x in batch])
         yield from np.split(hashes, np.searchsorted(first, ends[:-1]))
         batch.clear()
@@ -73,9 +76,9 @@ def text_word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
             parts, at = [], 0
             while at < len(data):
                 end = min(len(data), at + SEGMENT)
-                while end < len(data) and _WORD_BYTE[data[end : end + 1].lower()[0]]:
+                while end < len(data) and word_byte[data[end : end + 1].lower()[0]]:
                     end += 1
-                parts.append(word_hashes(data[at:end])[0])
+                parts.append(word_hashes(data[at:end], word_byte)[0])
                 at = end
             yield np.concatenate(parts)
             continue
