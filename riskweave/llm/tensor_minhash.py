@@ -169,8 +169,8 @@ def _verify(percent: int, shingle: int):
     return run
 
 
-def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """a, b: links that connect the nodes of every verified component."""
+def verified_components(docs: DataFrame, sets: DataFrame, groups: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """node, root: components of the verified links, for every node that is not a root itself."""
     members = sets.select("_set", "_short", "_rep", "_bytes").join(groups, "_short")
     sizes = members.groupBy("_group").agg(F.least(F.ceil(F.count("*") / 2), F.greatest(
         F.ceil(F.sum("_bytes") / CHUNK_BYTES), F.ceil(F.count("*") / CHUNK_TEXTS))).alias("_chunks"))
@@ -191,13 +191,15 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, doc_id:
     first = F.when(F.col("_chunks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(dealt(1), F.col("_chunks") + dealt(2)))
     links = compared(members.select("_group", F.explode(first).alias("_block"), "_set", "_rep", "_hash", F.lit(True).alias("_row")))
     roots = components(links)
+    if not members.where("_chunks > 1").take(1):
+        return roots
     large = members.where("_chunks > 1").join(roots, members["_set"] == roots["node"], "left").select(
         members["*"], F.coalesce("root", "_set").alias("_root"))
     main = large.groupBy("_group", "_root").agg(F.count("*").alias("_n")).groupBy("_group").agg(
         F.max(F.struct("_n", "_root"))["_root"].alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
     open_ = c.materialise(large.join(main, "_group").select(*members.columns, (F.col("_root") != F.col("_main")).alias("_row")))
     if not open_.take(1):
-        return links
+        return roots
     out = open_.where("_row").groupBy("_group").agg(F.least(F.count("*"), F.greatest(
         F.ceil(F.sum("_bytes") / CHUNK_BYTES), F.ceil(F.count("*") / CHUNK_TEXTS))).alias("_sides"))
     open_ = open_.join(out, "_group")
@@ -205,7 +207,10 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, doc_id:
     outside = open_.where("_row").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_j")).withColumn("_i", dealt(3, "_sides"))
     inside = open_.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_sides") - 1)).alias("_i")).withColumn("_j", dealt(1)).withColumn("_row", F.lit(False))
     both = outside.unionByName(inside).select("_group", (F.col("_i") * F.col("_chunks") + F.col("_j")).alias("_block"), "_set", "_rep", "_hash", "_row")
-    return links.unionByName(compared(both))
+    more = compared(both)
+    if not more.take(1):
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
@@ -219,7 +224,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = c.materialise(rows.where(F.col("_set").isNotNull()).groupBy("_set").agg(
         F.min("_id").alias("_first"), F.first(F.struct("_id", "_text", "_bytes", "_halves")).alias("_any")).select(
         "_set", F.xxhash64("_set").alias("_short"), "_first", F.struct("_any._id", "_any._text").alias("_rep"), "_any._bytes", "_any._halves"))
-    roots = components(verified_links(docs, sets, tied_groups(sets, halves), doc_id, text, shingle, percent))
+    roots = verified_components(docs, sets, tied_groups(sets, halves), doc_id, text, shingle, percent)
     judged = sets.join(roots, sets["_set"] == roots["node"], "left").select("_set", "_first", F.coalesce("root", "_set").alias("_root"))
     names = judged.groupBy("_root").agg(F.min("_first").alias("_component"))
     named = judged.join(names, "_root").select("_set", "_component")
