@@ -28,11 +28,23 @@ def _has(value: Column, key: str) -> Column:
 _TEXT_KEYS = ("text", "content", "output_text", "message")
 
 
-def text_fragments(content: Column) -> Column:
+def json_depth(text: Column) -> Column:
+    """How deep the containers of a JSON text are nested: the highest running count of open brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"?', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, char: Column) -> Column:
+        now = state.now + F.when(char.isin("[", "{"), 1).when(char.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state.most, now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda state: state.most)
+
+
+def text_fragments(content: Column, depth: Column, max_depth: int | None = None) -> Column:
     """Texts of a nested content value in reading order, as ``array<string>``.
 
-    Each step replaces containers by their children in place, so after eight
-    steps all texts down to depth eight stand in one flat list.
+    Each step replaces containers by their children in place, so after ``depth`` steps, the nesting of the record,
+    all texts stand in one flat list. ``max_depth`` stops earlier (8 as published) and loses what lies below.
     """
     def open_one(item):
         kind = _kind(item)
@@ -41,38 +53,44 @@ def text_fragments(content: Column) -> Column:
                 .when(kind == "ARRAY", F.array_compact(_variant(item, "$", "array<variant>")))
                 .when(kind == "OBJECT", inner))
 
-    items = F.array(content)
-    for _ in range(values.MAX_CHAT_DEPTH):
-        items = F.flatten(F.array_compact(F.transform(items, open_one)))
+    def opened(items):
+        return F.flatten(F.array_compact(F.transform(items, open_one)))
+
+    steps = depth if max_depth is None else F.least(depth, F.lit(max_depth))
+    # The first step sets the type: a list of values.
+    items = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.array(content), lambda items, _: opened(items))
     return F.transform(F.filter(items, lambda item: _kind(item) == "STRING"), lambda item: _variant(item, "$", "string"))
 
 
-def flatten_chat(df: DataFrame, *, keys: list[str], json_col: str = "record", max_bytes: int | None = None) -> DataFrame:
-    """Chat records of any shape to ``(*keys, role, text)``.
+def flatten_chat(df: DataFrame, *, keys: list[str], json_col: str = "record", max_bytes: int | None = None,
+                 max_depth: int | None = None, keep_bad: bool = False) -> DataFrame:
+    """Chat records of any shape and depth to ``(*keys, role, text)``.
 
     Takes ``{role, content}`` and ``{message: {role, content}}``; content may be
     text, a list or nested objects. Role and content of the message come before
-    those of the record. Records that are no objects give an empty text; JSON
-    that does not parse, or is longer than ``max_bytes`` if given, raises.
+    those of the record. Records that are no objects give an empty text. JSON
+    that does not parse, or is longer than ``max_bytes`` if given, raises; with ``keep_bad`` it fails nothing, and a column
+    ``problem`` says what is wrong (the JSON parser itself takes about 1000 levels).
     """
     record = F.col("_r")
     df = df.select(*keys, F.col(json_col).alias("_json"))
-    parsed = F.parse_json("_json")
-    if max_bytes is not None:
-        parsed = F.when(F.octet_length("_json") > max_bytes,
-                        F.raise_error(F.lit("chat record exceeds size limit")).cast("variant")).otherwise(parsed)
-    df = df.withColumn("_r", parsed)
+    too_long = F.octet_length("_json") > max_bytes if max_bytes is not None else F.lit(False)
+    if keep_bad:
+        df = df.withColumn("_r", F.when(~too_long, F.try_parse_json("_json")))
+        df = df.withColumn("problem", F.when(too_long, "too long").when(record.isNull(), "not JSON"))
+    else:
+        df = df.withColumn("_r", F.when(too_long, F.raise_error(F.lit("chat record exceeds size limit")).cast("variant")).otherwise(F.parse_json("_json")))
     message = F.when(_kind(_variant(record, "$.message", "variant")) == "OBJECT", _variant(record, "$.message", "variant"))
     outer_role = _variant(record, "$.role", "variant")
-    df = df.withColumns({"_m": message, "_role": outer_role})
+    df = df.withColumns({"_m": message, "_role": outer_role, "_depth": json_depth(F.col("_json"))})
     in_message = F.col("_m").isNotNull()
     role = F.when(in_message & _has(F.col("_m"), "role"), _variant(F.col("_m"), "$.role", "variant")).otherwise(F.col("_role"))
     own = _variant(record, "$.content", "variant")
     content = (F.when(in_message, F.coalesce(_variant(F.col("_m"), "$.content", "variant"), own))
                .otherwise(F.coalesce(own, _variant(record, "$.output", "variant"))))
     df = df.withColumns({"_role": role, "_content": content})
-    fragments = F.filter(text_fragments(F.col("_content")), lambda t: t != "")
-    return emit(df, keys, F.struct(
+    fragments = F.filter(text_fragments(F.col("_content"), F.col("_depth"), max_depth), lambda t: t != "")
+    return emit(df, [*keys, "problem"] if keep_bad else keys, F.struct(
         F.when(_kind(F.col("_role")) == "STRING", F.lower(_variant(F.col("_role"), "$", "string"))).alias("role"),
         F.coalesce(F.array_join(fragments, "\n"), F.lit("")).alias("text")))
 

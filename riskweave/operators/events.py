@@ -53,17 +53,21 @@ def tail(events: DataFrame, n: int, *, order: list[str]) -> DataFrame:
     return events.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def event_status(events: DataFrame, *, order: list[str], n: int = 5) -> DataFrame:
-    """The last events as a report prints them."""
+def _shown(column: str, chars: int | None) -> Column:
+    return F.col(column) if chars is None else F.left(column, F.lit(chars)).alias(column)
+
+
+def event_status(events: DataFrame, *, order: list[str], n: int = 5, command_chars: int | None = None) -> DataFrame:
+    """The last events as a report prints them; ``command_chars`` cuts commands (60 as published)."""
     return tail(events, n, order=order).select(
-        *order, F.coalesce("verdict", F.lit("?")).alias("verdict"), F.left("command", F.lit(60)).alias("command"),
+        *order, F.coalesce("verdict", F.lit("?")).alias("verdict"), _shown("command", command_chars),
         F.coalesce(F.nullif(F.array_join("reasons", ", "), F.lit("")), F.lit("none")).alias("reasons"))
 
 
-def incidents(events: DataFrame, *, order: list[str], n: int = 10) -> DataFrame:
-    """The last dangerous events as a report prints them."""
+def incidents(events: DataFrame, *, order: list[str], n: int = 10, command_chars: int | None = None) -> DataFrame:
+    """The last dangerous events as a report prints them; ``command_chars`` cuts commands (80 as published)."""
     return tail(events.filter(_is("DANGEROUS")), n, order=order).select(
-        *order, F.left("command", F.lit(80)).alias("command"),
+        *order, _shown("command", command_chars),
         F.coalesce(F.nullif(F.array_join("reasons", ", "), F.lit("")), F.lit("none")).alias("reasons"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import literal_groups, python_to_java, with_prefix_group
+from ..functions.linear import linear_form
 from ..functions.normalize import canonicalize_shell, fold, normalize_corpus
 from .rules import RuleBook, default_rules
 
@@ -57,6 +58,8 @@ class GuardedRules:
 
     def __init__(self, sections: dict[str, list[str]], *, to_java=python_to_java, guarded: bool = True):
         self.java = {name: [to_java(p) for p in patterns] for name, patterns in sections.items()}
+        # Whether a rule hits is asked in its linear form; the texts hold no line feeds.
+        self._tests = {name: [to_java(linear_form(p)) for p in patterns] for name, patterns in sections.items()}
         self._groups = {
             name: [sorted(set(literal_groups(p)), key=_rank) if guarded else [] for p in patterns]
             for name, patterns in sections.items()
@@ -83,7 +86,7 @@ class GuardedRules:
         known = [g for g in groups if all(word in self._slot for word in g)]
         rest = [g for g in groups if g not in known]
         guards = [self._any(group, folded, found) for group in known + rest]
-        return " AND ".join([*guards, f"rlike({text}, {sql_text(self.java[name][i])})"])
+        return " AND ".join([*guards, f"rlike({text}, {sql_text(self._tests[name][i])})"])
 
     def _skip(self, name: str, found: str) -> str:
         """The condition under which no rule of the section can match."""

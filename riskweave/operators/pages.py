@@ -6,6 +6,8 @@ outranks a downgraded blocked one.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +19,39 @@ from ..tables import page_rules
 from .matching import GuardedRules, literal_array
 from .verdicts import NO_HITS, VERDICT_TYPE, blocked_verdict, judge_hits, verdict
 
-_CONTEXT = js_to_java(values.PAGE_SAFE_CONTEXT)
 _HTTPS_URL = js_to_java(r"""https://[^\s'"|;]+""")
-_INSTALLERS = js_to_java(any_of(page_rules.PAGE_SAFE_INSTALLERS))
 
 
-def _safe_installer(text):
+@dataclass(frozen=True)
+class PageProfile:
+    """The rules of the page profile, replaceable as a whole or in part: (id, pattern) in order, known installers, the clause that
+    makes a hit of ``context_id`` safe, and the beginning of the ids that a known installer excuses."""
+
+    blocked: tuple = page_rules.PAGE_BLOCKED
+    suspicious: tuple = page_rules.PAGE_SUSPICIOUS
+    installers: tuple = page_rules.PAGE_SAFE_INSTALLERS
+    safe_context: str = values.PAGE_SAFE_CONTEXT
+    context_id: str = values.PAGE_CONTEXT_ID
+    installer_prefix: str = values.INSTALLER_ID_PREFIX
+
+
+def _safe_installer(text, installers):
+    known = js_to_java(any_of(installers))
+
     def one_known(urls):
-        return (F.size(urls) == 1) & F.regexp_replace(F.get(urls, F.lit(0)), r"[\])],?$", "").rlike(_INSTALLERS)
+        return (F.size(urls) == 1) & F.regexp_replace(F.get(urls, F.lit(0)), r"[\])],?$", "").rlike(known)
 
     return let(F.regexp_extract_all(text, F.lit(_HTTPS_URL), F.lit(0)), one_known)
 
 
-def classify_pages(df: DataFrame, *, keys: list[str], text_col: str = "html", guarded: bool = True) -> DataFrame:
+def classify_pages(df: DataFrame, *, keys: list[str], text_col: str = "html", guarded: bool = True,
+                   profile: PageProfile | None = None) -> DataFrame:
     """Pages to rows ``(*keys, code, action, reasons, matched)`` under the page profile."""
-    ids = [rule_id for rule_id, _ in page_rules.PAGE_BLOCKED]
-    suspicious_ids = [rule_id for rule_id, _ in page_rules.PAGE_SUSPICIOUS]
+    profile = profile or PageProfile()
+    ids = [rule_id for rule_id, _ in profile.blocked]
+    suspicious_ids = [rule_id for rule_id, _ in profile.suspicious]
     matcher = GuardedRules(
-        {"blocked": [p for _, p in page_rules.PAGE_BLOCKED], "suspicious": [p for _, p in page_rules.PAGE_SUSPICIOUS]},
+        {"blocked": [p for _, p in profile.blocked], "suspicious": [p for _, p in profile.suspicious]},
         to_java=js_to_java, guarded=guarded)
     names = ("_norm", "_fold", "_found")
     text = F.col("_norm")
@@ -42,9 +59,10 @@ def classify_pages(df: DataFrame, *, keys: list[str], text_col: str = "html", gu
     df = df.withColumn("_fold", fold(text)).withColumn("_found", matcher.word_tests("_fold"))
     df = df.withColumns({"_hits": matcher.hits("blocked", *names), "_susp": matcher.hits("suspicious", *names)})
     judged = judge_hits(
-        text, F.col("_hits"), ids, matcher.java["blocked"], context=_CONTEXT, installer=_safe_installer(text),
-        context_at=[i for i, rule_id in enumerate(ids) if rule_id == values.PAGE_CONTEXT_ID],
-        installer_at=[i for i, rule_id in enumerate(ids) if rule_id.startswith(values.INSTALLER_ID_PREFIX)])
+        text, F.col("_hits"), ids, matcher.java["blocked"], context=js_to_java(profile.safe_context),
+        installer=_safe_installer(text, profile.installers),
+        context_at=[i for i, rule_id in enumerate(ids) if rule_id == profile.context_id],
+        installer_at=[i for i, rule_id in enumerate(ids) if rule_id.startswith(profile.installer_prefix)])
     df = df.withColumn("_judged", F.when(F.size("_hits") > 0, judged).otherwise(F.expr(NO_HITS)))
     df = df.withColumn("_blocked", blocked_verdict(F.col("_judged")))
     susp = literal_array(suspicious_ids)

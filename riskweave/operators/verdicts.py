@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.common import emit, let
 from ..functions.dialect import any_of, python_to_java, with_prefix_group
 from ..functions.hosts import extract_host_array, host_signals, may_hold_url
+from ..functions.linear import linear_form
 from ..functions.lines import split_lines
 from ..functions.normalize import canonicalize_shell, fold, normalize_corpus
 from ..functions.payload import decoded_payload
@@ -26,10 +27,6 @@ from .matching import guarded_rules, literal_array, span
 from .rules import RuleBook, default_rules
 
 VERDICT_TYPE = "struct<code:int,action:string,reasons:array<string>,matched:string>"
-# Blocklists up to this many hosts become a hash set inside the plan; larger
-# ones are joined, see `operators.hosts.classify_with_blocklist`.
-MAX_INLINE_HOSTS = 20_000
-
 NO_HITS = "cast(array() as array<struct<rule_id:string,matched:string,why:string>>)"
 _MARKERS = python_to_java(any_of(values.SAFE_CONTEXT_MARKERS))
 _HTTPS_URL = python_to_java(r"""https://[^\s'\"|;]+""")
@@ -51,9 +48,9 @@ def host_digest(hosts) -> str:
 
 
 def pinned_blocklist(hosts, sha256: str) -> Blocklist:
+    """A list that becomes a hash set inside the plan; a list in a table is better joined, see
+    `operators.hosts.classify_with_blocklist`."""
     hosts = frozenset(host.lower() for host in hosts)
-    if len(hosts) > MAX_INLINE_HOSTS:
-        raise ValueError(f"more than {MAX_INLINE_HOSTS} hosts: use classify_with_blocklist")
     return Blocklist(hosts, bool(sha256) and host_digest(hosts) == sha256)
 
 
@@ -61,6 +58,11 @@ def seed_blocklist() -> Blocklist:
     return pinned_blocklist(host_values.SEED_HOSTS, host_values.SEED_SHA256)
 
 
+def safe_markers() -> str:
+    """The pattern of what makes the clause around a match safe."""
+    return _MARKERS
+
+
 def local_clause(text: Column, before: Column, matched: Column) -> Column:
     """The clause around a match: from the nearest of ``. ! ? \\n`` on its left to
     the nearest on its right. ``before`` is the text left of the match."""
@@ -126,8 +128,12 @@ def _judged(text: Column, hits: Column, rules: RuleBook, *, strict_installer: bo
 def _unguarded_hits(text: Column, rules: RuleBook) -> Column:
     """Blocked hits of a decoded text. Few texts have one, and it is neither
     normalised nor folded, so every pattern is tried from a list."""
-    patterns = literal_array(rules.java["blocked"])
-    return F.filter(F.sequence(F.lit(1), F.lit(len(rules.blocked))), lambda i: F.rlike(text, F.get(patterns, i - 1)))
+    def hits(patterns):
+        listed = literal_array(patterns)
+        return F.filter(F.sequence(F.lit(1), F.lit(len(rules.blocked))), lambda i: F.rlike(text, F.get(listed, i - 1)))
+
+    linear = [python_to_java(linear_form(p)) for _, p in rules.blocked]
+    return F.when(F.contains(text, F.lit("\n")), hits(rules.java["blocked"])).otherwise(hits(linear))
 
 
 def verdict(code: int, reasons: Column, matched: Column | None = None) -> Column:
@@ -165,19 +171,21 @@ def _host_verdict(text: Column, folded: Column, blocklist: Blocklist) -> Column:
     return let(hosts, decide)
 
 
-def _decoded_verdict(decoded: Column, judged: Column) -> Column:
+def _decoded_verdict(decoded: Column, judged: Column, chars: int | None = None) -> Column:
+    """``chars`` cuts the decoded text that is shown (80 as published)."""
     inner = blocked_verdict(judged)
     return (F.when(decoded == "", F.lit(None))
             .when(F.size(judged) > 0, verdict(
                 2, F.array(F.concat(F.get(inner.reasons, F.lit(0)), F.lit(values.DECODED_SUFFIX))), inner.matched))
             .when(decoded.rlike(python_to_java(values.DECODED_SHELL_PATTERN)), verdict(
-                2, F.array(F.lit(values.DECODED_SHELL_REASON)), F.left(decoded, F.lit(80)))))
+                2, F.array(F.lit(values.DECODED_SHELL_REASON)), decoded if chars is None else F.left(decoded, F.lit(chars)))))
 
 
 def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict", *,
                 rules: RuleBook | None = None, blocklist: Blocklist | None = None,
                 host_stage: bool = True, max_bytes: int | None = None, strict_installer: bool = False,
-                unicode_forms: bool = True, guarded: bool = True, settled_col: str | None = None) -> DataFrame:
+                unicode_forms: bool = True, guarded: bool = True, settled_col: str | None = None,
+                decoded_chars: int | None = None) -> DataFrame:
     """Adds ``out_col`` with the verdict struct of ``text_col``; keeps all columns.
 
     ``max_bytes`` makes longer texts dangerous without looking at them.
@@ -224,7 +232,7 @@ def add_verdict(df: DataFrame, text_col: str = "text", out_col: str = "verdict",
     df = df.withColumn("_djudged", F.when(
         F.size("_dhits") > 0, _judged(decoded, F.col("_dhits"), rules, strict_installer=strict_installer)
     ).otherwise(no_hits)).drop("_dhits")
-    df = df.withColumn("_early", F.coalesce(F.col("_early"), _decoded_verdict(decoded, F.col("_djudged"))))
+    df = df.withColumn("_early", F.coalesce(F.col("_early"), _decoded_verdict(decoded, F.col("_djudged"), decoded_chars)))
 
     ids = literal_array(rule_id for rule_id, _ in rules.suspicious)
     df = df.withColumn("_susp", F.when(
@@ -268,8 +276,12 @@ def scan_lines(df: DataFrame, *, keys: list[str], text_col: str = "text", risky_
                **options) -> DataFrame:
     """Every line as its own text: ``(*keys, line_no, line, code, action, reasons, matched)``."""
     lines = df.select(*keys, F.posexplode(split_lines(F.col(text_col))).alias("_pos", "line"))
-    lines = lines.select(*keys, (F.col("_pos") + 1).alias("line_no"), "line")
-    judged = emit(add_verdict(lines, "line", "_verdict", **options), [*keys, "line_no", "line"], F.col("_verdict"))
+    return judge_lines(lines.select(*keys, (F.col("_pos") + 1).alias("line_no"), "line"), keys=keys, risky_only=risky_only, **options)
+
+
+def judge_lines(lines: DataFrame, *, keys: list[str], risky_only: bool = True, **options) -> DataFrame:
+    """`scan_lines` for lines that have been cut already: ``(*keys, line_no, line)``, as `readers.read_history` gives them."""
+    judged = emit(add_verdict(lines.select(*keys, "line_no", "line"), "line", "_verdict", **options), [*keys, "line_no", "line"], F.col("_verdict"))
     return judged.filter("code <> 0") if risky_only else judged
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.lines import split_lines
-from ..operators import breaker, chat, chunks, evaluation, events, files, hosts, matching, pages, sarif, snapshots, verdicts
-from ..streaming.breaker_stream import breaker_stream
+from ..operators import breaker, chat, chunks, evaluation, events, files, hosts, matching, pages, rule_table, rules, sarif, snapshots, verdicts
+from ..streaming.breaker_stream import breaker_stream, danger_stream
 from ..streaming.chunk_stream import chunk_stream
 from ..streaming.guard_stream import guard_stream
 from . import views
@@ -30,12 +28,6 @@ def _micros(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.unix_micros(c) for c in columns})
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder on the cluster's shared checkpoint storage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return os.path.join(base, uuid.uuid4().hex) if base else tempfile.mkdtemp(prefix="riskweave-")
-
-
 # --- texts ---------------------------------------------------------------
 
 def verdicts_documents(spark, sf):
@@ -62,9 +54,30 @@ def top_rules_by_source(spark, sf):
     return counted.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
 
 
+def findings_rule_table(spark, sf):
+    """The built-in book as a table."""
+    index = rule_table.index_rules(rules.default_rules().to_df(spark).filter("section <> 'safe_installers'"))
+    return rule_table.match_rule_table(views.planted_documents(spark, sf), index, keys=["doc_id"])
+
+
+def findings_user_rules(spark, sf):
+    """Rules that users keep in a table: every four words on end of every benchmark item."""
+    index = rule_table.index_rules(views.phrase_rules(spark, sf))
+    found = rule_table.match_rule_table(views.texts(spark, sf, "documents"), index, keys=["doc_id"])
+    return found.select("doc_id", "rule_id")
+
+
+def rule_table_verdicts(spark, sf):
+    """First hit and last downgrade of the built-in book as a table."""
+    book = rules.default_rules()
+    index = rule_table.index_rules(book.to_df(spark).filter("section <> 'safe_installers'"))
+    return _joined(rule_table.classify_by_table(views.planted_documents(spark, sf), index, keys=["doc_id"],
+                                                installers=[p for _, p in book.safe_installers]))
+
+
 def risky_lines(spark, sf):
     return _joined(verdicts.scan_lines(views.planted_documents(spark, sf), keys=["doc_id"])).select(
-        "doc_id", "line_no", F.left("line", F.lit(120)).alias("line"), "code", "action", "reasons")
+        "doc_id", "line_no", "line", "code", "action", "reasons")
 
 
 def risky_line_summary(spark, sf):
@@ -229,9 +242,9 @@ def breaker_alerts(spark, sf):
 
 
 def breaker_epochs(spark, sf):
-    source = views.guard_events(spark, sf)
-    alerts = breaker.breaker_alerts(source, log="log", minutes=_MINUTES)
-    return _micros(breaker.breaker_epochs(source, alerts, log="log"), "opened_at")
+    numbered = breaker.number_epochs(views.guard_events(spark, sf), log="log")
+    alerts = breaker.breaker_alerts(numbered, log="log", minutes=_MINUTES)
+    return _micros(breaker.breaker_epochs(numbered, alerts, log="log"), "opened_at")
 
 
 def danger_watch_hourly(spark, sf):
@@ -239,14 +252,27 @@ def danger_watch_hourly(spark, sf):
     return _micros(watched, "window_start", "window_end")
 
 
+def _alerts_of_feed(spark, sf, build):
+    """What a streaming query writes for the late and shuffled feed of the guard events, file after file."""
+    base = storage.scratch(spark)
+    schema = None
+    for piece in views.late_feed(spark, sf):
+        piece.write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(piece.schema).parquet(f"{base}/in"))
+        schema = stream.schema
+        (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
 def breaker_stream_query(spark, sf):
-    stream = views.guard_events(spark, sf, streaming=True)
-    alerts = breaker_stream(stream, log="log", minutes=_MINUTES)
-    base = _scratch(spark)
-    query = (alerts.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return _micros(spark.read.schema(alerts.schema).parquet(f"{base}/out").drop("opened_at"), "ts")
+    alerts = _alerts_of_feed(spark, sf, lambda events: breaker_stream(events, log="log", minutes=_MINUTES, watermark=views.FEED_LATENESS))
+    return _micros(alerts.drop("opened_at"), "ts")
+
+
+def danger_stream_query(spark, sf):
+    watched = _alerts_of_feed(spark, sf, lambda events: danger_stream(events, window="1 hour", slide="1 hour", watermark=views.FEED_LATENESS))
+    return _micros(watched, "window_start", "window_end")
 
 
 # --- chunks --------------------------------------------------------------
@@ -256,14 +282,30 @@ def chunk_verdicts(spark, sf):
 
 
 def chunk_stream_query(spark, sf):
-    base = _scratch(spark)
+    base = storage.scratch(spark)
     stream = views.chunk_table(spark, sf, streaming=True)
     chunk_stream(stream, f"{base}/out", f"{base}/checkpoint", stream="conv_id", seq="turn").awaitTermination()
     return _joined(spark.read.parquet(f"{base}/out").drop("batch"))
 
 
+def chunk_verdicts_reset(spark, sf):
+    table = views.chunk_table(spark, sf, resets=True)
+    return _joined(chunks.chunk_verdicts(table, stream="conv_id", seq="turn", op_col="op", block=4))
+
+
+def chunk_stream_reset(spark, sf):
+    """Turns in two micro-batches, so that buffers and resets are carried over."""
+    base = storage.scratch(spark)
+    table = views.chunk_table(spark, sf, resets=True)
+    for late in (False, True):
+        table.filter((F.col("turn") >= 3) == late).write.mode("append").parquet(f"{base}/in")
+        chunk_stream(spark.readStream.schema(table.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint",
+                     stream="conv_id", seq="turn", block=4).awaitTermination()
+    return _joined(spark.read.parquet(f"{base}/out").drop("batch"))
+
+
 def guard_stream_query(spark, sf):
-    base = _scratch(spark)
+    base = storage.scratch(spark)
     stream = views.planted_turns(spark, sf, streaming=True)
     guard_stream(stream, f"{base}/allowed", f"{base}/refused", f"{base}/checkpoint",
                  keys=["conv_id", "turn"]).awaitTermination()
@@ -340,20 +382,21 @@ def document_lines(spark, sf):
 def queries() -> dict[str, Query]:
     named = [
         verdicts_documents, verdict_counts_by_lang, guard_envelopes, findings_all_rules, top_rules_by_source,
-        risky_lines, risky_line_summary, decoded_payloads, document_lines,
+        findings_rule_table, findings_user_rules, rule_table_verdicts, risky_lines, risky_line_summary, decoded_payloads, document_lines,
         hosts_extracted, page_url_hosts, host_signals, host_verdicts, blocklist_hits,
         verdicts_joined_blocklist,
         conversation_audit, conversation_audit_rollup, chat_json_flatten, chat_strict_content, chat_export,
         page_verdicts, profile_parity,
         line_findings, skill_rollup, sweep_summary, gate_refusals, refusal_report, secret_literals, recall_by_family,
         event_metrics, verdict_histogram, event_status, incidents, event_health, metric_lines,
-        breaker_alerts, breaker_epochs, danger_watch_hourly, chunk_verdicts,
+        breaker_alerts, breaker_epochs, danger_watch_hourly, chunk_verdicts, chunk_verdicts_reset, chunk_stream_reset,
         sarif_findings, sarif_severity_counts,
         snapshot_digest, snapshot_diff, recover_rows, keep_latest,
         evaluate_overall, evaluate_by_category, evaluate_against_labels,
     ]
     table = {query.__name__: query for query in named}
     table["breaker_stream"] = breaker_stream_query
+    table["danger_stream"] = danger_stream_query
     table["chunk_stream"] = chunk_stream_query
     table["guard_stream"] = guard_stream_query
     return table

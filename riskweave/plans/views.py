@@ -51,6 +51,14 @@ def planted_documents(spark, sf_dir) -> DataFrame:
         F.coalesce(_pick([str(c) for c in codes], key, payloads.TEXT_MODULUS), F.lit("0")).cast("int").alias("expected"))
 
 
+def phrase_rules(spark, sf_dir) -> DataFrame:
+    """A rule per four words on end in a benchmark item, as users would keep them in a table."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").select(words.alias("_w")).filter(F.size("_w") >= 4)
+    phrases = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - 3), lambda i: F.array_join(F.slice("_w", i, 4), " "))).alias("rule_id")).distinct()
+    return phrases.select(F.lit("blocked").alias("section"), F.lit(1).alias("ord"), "rule_id", F.replace("rule_id", F.lit(" "), F.lit("[ ,.;:!?]+")).alias("pattern"))
+
+
 def planted_turns(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", streaming=True) if streaming else texts(spark, sf_dir, "conversations")
     payload = _pick([p[2] for p in payloads.TEXT_PAYLOADS], F.col("conv_id") * 31 + F.col("turn"), payloads.TEXT_MODULUS)
@@ -90,8 +98,28 @@ def guard_events(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
         ((kind == "signup") & (F.col("event_id") % 50 == 0)).alias("is_reset"))
 
 
-def chunk_table(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
-    """Conversations as chunk streams; some payloads are cut over two turns."""
+FEED_LATENESS = "3 days"
+
+
+def late_feed(spark, sf_dir):
+    """Guard events as three pieces in which every event comes up to three days late and in no order, then a piece
+    whose one event, of no log, only moves the clock on."""
+    events = guard_events(spark, sf_dir)
+    day = F.unix_micros("ts") / 86_400_000_000
+    events = events.withColumn("_at", day + 2.9 * F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000)
+    first, last = events.agg(F.min("_at"), F.max("_at")).first()
+    width = (last - first) / 3 + 1e-9 if first is not None else 1.0
+    events = events.withColumn("_piece", F.floor((F.col("_at") - (first or 0.0)) / width))
+    for piece in range(3):
+        yield events.filter(F.col("_piece") == piece).drop("_at", "_piece").repartition(4, F.xxhash64("event_id", F.lit(1)))
+    end = F.max("ts") + F.expr("INTERVAL 9 DAYS")
+    yield guard_events(spark, sf_dir).agg(end.alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast("string").alias("log"), F.lit("clock").alias("command"),
+        F.lit("SAFE").alias("verdict"), F.array(F.lit("clock")).alias("reasons"), F.lit(False).alias("is_chat"), F.lit(False).alias("is_reset"))
+
+
+def chunk_table(spark, sf_dir, *, streaming: bool = False, resets: bool = False) -> DataFrame:
+    """Conversations as chunk streams; some payloads are cut over two turns. With ``resets`` some turns are resets."""
     n = len(payloads.SPLIT_PAYLOADS)
     turns = table(spark, sf_dir, "conversations", streaming=streaming)
     # Two adjacent turns of a stream share a slot: the even one gets the left half.
@@ -100,7 +128,8 @@ def chunk_table(spark, sf_dir, *, streaming: bool = False) -> DataFrame:
     even = F.col("turn") % 2 == 0
     text = (F.when(halves[0].isNull(), F.col("text"))
             .when(even, F.concat("text", F.lit(" "), halves[0])).otherwise(F.concat(halves[1], F.lit(" "), "text")))
-    return turns.select("conv_id", "turn", text.alias("text"))
+    op = [F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, "reset").otherwise("chunk").alias("op")] if resets else []
+    return turns.select("conv_id", "turn", text.alias("text"), *op)
 
 
 def chat_records(spark, sf_dir) -> DataFrame:

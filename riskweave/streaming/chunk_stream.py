@@ -1,105 +1,76 @@
-"""Streaming twin of `operators.chunks`: one state per stream, the text before
-its next chunk.
+"""Streaming twin of `operators.chunks`.
 
-The state function only keeps and hands out that text (at most ``lookback``
-characters); verdicts are computed by the same projections as in batch, per
-micro-batch. Chunks of a stream must arrive in order across micro-batches; inside
-one they are sorted. How much of a hot stream one batch holds is set by the
-source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+Each micro-batch is judged by the batch operators, so a hot stream is split into blocks over tasks and nothing runs row
+by row. What is kept from batch to batch is a table of buffers, one row of at most ``lookback`` characters per
+stream: a version per micro-batch holds the streams that it changed, every few versions one holds all. A batch that is run again
+reads the versions before it and replaces its own output and version. Chunks of a stream must arrive in order
+across micro-batches; inside one they are sorted.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.common import emit
-from ..functions.normalize import CSI, OSC
-from ..operators.chunks import judge_candidates
+from .. import storage
+from ..operators.chunks import add_lookback, judge_chunks
 from ..tables import contexts as values
 
-_CSI = re.compile(CSI)
-_OSC = re.compile(OSC)
-_HIDDEN = dict.fromkeys(
-    [*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF])
-
-
-def normalize_text(text: str) -> str:
-    """Row form of `normalize_corpus`, for the state function."""
-    text = _OSC.sub("", _CSI.sub("", unicodedata.normalize("NFKC", text))).translate(_HIDDEN)
-    if "\b" in text:
-        kept: list[str] = []
-        for c in text:
-            if c != "\b":
-                kept.append(c)
-            elif kept:
-                kept.pop()
-        text = "".join(kept)
-    return " ".join(text.split())
-
+WHOLE_EVERY = 16
 
-def _feeder(stream: str, seq: str, lookback: int, idle_minutes: int | None) -> Callable:
-    def feed(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        buffer = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
-        before, chunks, kept = [], [], []
-        for at, op, text in zip(rows[seq], rows["op"], rows["text"]):
-            if op == "reset":
-                buffer = ""
-                continue
-            chunk = normalize_text(text or "")
-            kept.append(at)
-            chunks.append(chunk)
-            before.append(buffer if chunk else "")
-            if chunk:
-                buffer = normalize_text(f"{buffer} {chunk}"[-lookback:])
-        state.update((buffer,))
-        if idle_minutes:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-        yield pd.DataFrame({stream: key[0], seq: kept, "chunk": chunks, "before": before})
 
-    return feed
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Batch id and whether the version holds all streams, in order."""
+    names = [name.split("-") for name in storage.children(spark, path)]
+    return sorted((int(batch), kind == "whole") for kind, batch in names)
 
 
-def with_buffers(chunks: DataFrame, *, stream: str, seq: str, text_col: str = "text",
-                 lookback: int = values.STREAM_LOOKBACK, idle_minutes: int | None = None) -> DataFrame:
-    """Streaming ``(stream, seq, chunk, before)``. An ``op`` column with ``reset``
-    clears a stream's buffer at that point."""
-    op = F.col("op") if "op" in chunks.columns else F.lit("chunk")
-    rows = chunks.select(stream, seq, op.alias("op"), F.col(text_col).alias("text"))
-    types = dict(rows.dtypes)
-    return rows.groupBy(stream).applyInPandasWithState(
-        _feeder(stream, seq, lookback, idle_minutes),
-        outputStructType=f"{stream} {types[stream]}, {seq} {types[seq]}, chunk string, before string",
-        stateStructType="buffer string", outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout)
-
-
-def judge_buffers(buffered: DataFrame, *, stream: str, seq: str, **options) -> DataFrame:
-    """Verdicts of one micro-batch of `with_buffers`."""
-    judged = judge_candidates(buffered, keep=[stream, seq], **options)
-    best = judged.groupBy(stream, seq).agg(F.max_by("_v", F.struct(F.col("_v.code"), -F.col("_at"))).alias("_v"))
-    return emit(best, [stream, seq], F.col("_v"))
+def read_buffers(spark: SparkSession, path: str, *, stream: str, before_batch: int, idle_minutes: int | None = None) -> DataFrame | None:
+    """``(stream, tail, seen)``: each stream's newest buffer before a batch; NULL if there is none yet. Streams that
+    were idle for longer are left out."""
+    found = [v for v in _versions(spark, path) if v[0] < before_batch]
+    start = max((i for i, (_, whole) in enumerate(found) if whole), default=0)
+    table = None
+    for batch, whole in found[start:]:
+        part = spark.read.parquet(f"{path}/{'whole' if whole else 'part'}-{batch}").withColumn("_batch", F.lit(batch))
+        table = part if table is None else table.unionByName(part)
+    if table is None:
+        return None
+    newest = table.groupBy(stream).agg(F.max_by(F.struct("tail", "seen"), "_batch").alias("_row")).select(stream, "_row.*")
+    if idle_minutes:
+        newest = newest.filter(F.col("seen") >= F.current_timestamp() - F.make_dt_interval(mins=F.lit(idle_minutes)))
+    return newest
 
 
 def chunk_stream(chunks: DataFrame, sink_path: str, checkpoint: str, *, stream: str, seq: str,
-                 text_col: str = "text", lookback: int = values.STREAM_LOOKBACK, trigger: dict | None = None,
-                 idle_minutes: int | None = None, **options):
-    """Starts the query; each micro-batch writes its verdicts to ``sink_path/batch=<id>``,
-    so a batch that is run again replaces its own output."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        judge_buffers(batch, stream=stream, seq=seq, **options).write.mode("overwrite").parquet(
-            f"{sink_path}/batch={batch_id}")
+                 text_col: str = "text", op_col: str | None = None, lookback: int = values.STREAM_LOOKBACK, block: int = 4096,
+                 trigger: dict | None = None, idle_minutes: int | None = None, buffers_path: str | None = None, **options):
+    """Starts the query; each micro-batch writes its verdicts to ``sink_path/batch=<id>``. Buffers lie in
+    ``buffers_path`` (beside the checkpoint unless given); ``op_col``, or a column ``op``, marks resets."""
+    buffers = buffers_path or f"{checkpoint.rstrip('/')}-buffers"
+    op_col = op_col or ("op" if "op" in chunks.columns else None)
 
-    buffered = with_buffers(chunks, stream=stream, seq=seq, text_col=text_col, lookback=lookback, idle_minutes=idle_minutes)
-    return (buffered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = read_buffers(spark, buffers, stream=stream, before_batch=batch_id, idle_minutes=idle_minutes)
+        # Written once: verdicts and buffers are both read off it.
+        looked_path = storage.scratch(spark)
+        looked = add_lookback(batch, stream=stream, seq=seq, text_col=text_col, op_col=op_col, known=known, lookback=lookback, block=block)
+        looked.write.parquet(looked_path)
+        looked = spark.read.schema(looked.schema).parquet(looked_path)
+        judge_chunks(looked, stream=stream, seq=seq, **options).write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
+        ends = looked.filter(F.col("after").isNotNull()).groupBy(stream).agg(F.max_by("after", seq).alias("tail"))
+        ends = ends.withColumn("seen", F.current_timestamp())
+        whole = known is not None and batch_id % WHOLE_EVERY == 0
+        if whole:
+            ends = ends.unionByName(known.join(ends, stream, "left_anti"))
+        ends.write.mode("overwrite").parquet(f"{buffers}/{'whole' if whole else 'part'}-{batch_id}")
+        storage.delete(spark, looked_path)
+        # What lies before the last but one whole version is read by no batch that may still run again.
+        wholes = [b for b, complete in _versions(spark, buffers) if complete and b < batch_id]
+        for old, complete in _versions(spark, buffers):
+            if wholes and old < wholes[-1]:
+                storage.delete(spark, f"{buffers}/{'whole' if complete else 'part'}-{old}")
+
+    return (chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

