@@ -307,3 +307,16 @@ def test_patterns_of_many_classes_after_a_session_started(spark):
     assert sequences <= 1.01 * sum(size * n for size, n in demand.items()) / 256
     basis = np.random.default_rng(1).integers(0, 4, (60, 60)) + np.eye(60) * 9
     assert np.allclose(packing.inverse_of(basis) @ basis, np.eye(60), atol=1e-8)
+
+
+def test_words_by_pieces_have_the_tokenizers_ids(spark, sf):
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER))
+    odd = ("l'été 'sœur été, «été» Étion. ΣΑΣ don't DON'T x1y22 a'll's … 's ''s ét ﬁn İx <|endoftext|> a<|b \x1fa a\x7f 漢字, ¿qué? ǅabc ß ẞ été' (l' "
+           "ªº ² x² Ⅷ 𝒳x 😀 a\u200bb e\u0301 -- 'é a—b 12,5 é1 --é--").split(" ")
+    words = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for w in r.text.replace("\n", " ").split(" ")})
+    found = [encoder.by_pieces(w) for w in odd + words]
+    whole = encoder.tokenizer.encode_batch(odd + words, add_special_tokens=False)
+    assert all(ids is None or ids == e.ids for ids, e in zip(found, whole))
+    assert sum(ids is None for ids in found) < 0.05 * len(words)
