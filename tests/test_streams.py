@@ -80,8 +80,11 @@ def _alerts(spark, pieces, folder, **options):
 
 def test_breaker_stream_equals_batch_on_late_files(spark, sf, folder):
     """Every event up to three days late, files in any order, one log with most events, resets."""
-    df = views.guard_events(spark, sf).withColumn("log", F.when(F.col("event_id") % 10 == 0, F.col("log")).otherwise("hot"))
-    pieces = [p.withColumn("log", F.when(p.log.isNull(), p.log).when(p.event_id % 10 == 0, p.log).otherwise("hot")) for p in views.late_feed(spark, sf)]
+    def hot(events):
+        log = F.when(F.col("log").isNull(), F.col("log")).when(F.col("event_id") % 10 == 0, F.col("log")).otherwise("hot")
+        return events.withColumns({"log": log, "is_reset": F.col("event_id") % 97 == 5})
+
+    df, pieces = hot(views.guard_events(spark, sf)), [hot(piece) for piece in views.late_feed(spark, sf)]
     got = _alerts(spark, pieces, folder, minutes=600, watermark=views.FEED_LATENESS)
     batch = breaker.breaker_alerts(df, log="log", minutes=600)
     rows = got.collect()
