@@ -1,10 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with min-hash prefixes and exact verification.
 
 Texts are sets of five-word shingles (words as in common.PLAIN_WORD; a shorter text is one shingle). Equal texts are
 one text with copies. Every text has a signature of min-hashes in `trees` tries; in each trie a text is found under
-the prefix of its signature. The prefix starts at `max_depth` and is shortened until two texts at the threshold meet
-in at least one trie with probability `recall`. Texts under one prefix are tied to the prefix's smallest text (an edge
-per text, never pairs), and the tied texts form candidate groups, which hold every pair that met anywhere.
+the prefix of its signature. The prefix is the longest at which two texts at the threshold meet in at least one trie with
+probability `recall`. It is the same for all texts: links are counted, so a longer prefix, even for texts that have found a
+neighbour under it, would lose some of their links at the threshold, and a shorter one is not needed for the recall. Texts
+under one prefix are tied to the prefix's smallest text (an edge per text, never pairs), and the tied texts form candidate
+groups, which hold every pair that met anywhere.
 
 Candidates are verified exactly: each text of a group is sent to its group once, words are compared as words, and all
 similarities in the group are counted, so links that the tries missed within a group are found too. A large group is
@@ -23,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ MAX_DEPTH = 12
 RECALL = 0.9999
 CHUNK_BYTES = 1 << 20
 CHUNK_TEXTS = 1000
+SLICE = 500
 BROADCAST_ROWS = 500_000
 _SEPARATORS = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80 else 0x20 for b in range(256))
 
@@ -89,14 +92,19 @@ def forest_keys(texts: list[str], trees: int, depth: int, n: int = SHINGLE) -> l
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, n: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = ["_own", "_key", "_short", "_bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.drop(columns="_text").assign(_keys=forest_keys(batch["_text"].tolist(), trees, depth, n))
+            for at in range(0, batch.num_rows, SLICE):  # few texts at a time are in Python
+                part = batch.slice(at, SLICE)
+                keys = forest_keys(part.column("_text").to_pylist(), trees, depth, n)
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(keys, pa.list_(pa.int64()))], names=[*kept, "_keys"])
 
     own = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).cast("bigint").cast("string").alias("_own"), c.text_key(F.col(text)).alias("_key"), F.xxhash64(text).alias("_short"),
         F.octet_length(text).cast("bigint").alias("_bytes"), F.col(text).alias("_text"))
-    done = own.mapInPandas(run, "_own string, _key binary, _short long, _bytes long, _keys array<long>")
+    done = own.mapInArrow(run, "_own string, _key binary, _short long, _bytes long, _keys array<long>")
     return c.materialise(done.select(F.col("_own").cast("bigint").alias("_own"), "_key", "_short", "_bytes", "_keys"))
 
 
@@ -182,21 +190,28 @@ def _verify(threshold: float, n: int):
         for i in np.flatnonzero(count):
             yield keys[i], int(count[i]), by_rank[label[i]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("_key", pa.binary()), ("_links", pa.int64()), ("_near", pa.binary())])
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], schema.types[i]) for i in range(3)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []
-        for batch in batches:
-            for group, lo, hi, key, chunk, text in zip(batch["_group"], batch["_lo"], batch["_hi"], batch["_key"], batch["_chunk"], batch["_text"]):
-                if (group, lo, hi) != now:
-                    if len(held) > 1:
-                        out += block(held, now[1] != now[2])
-                    now, held = (group, lo, hi), []
-                held.append((bytes(key), chunk, text))
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["_key", "_links", "_near"])
-                out = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE).to_pydict()
+                for group, lo, hi, key, chunk, text in zip(*(batch[x] for x in ("_group", "_lo", "_hi", "_key", "_chunk", "_text"))):
+                    if (group, lo, hi) != now:
+                        if len(held) > 1:
+                            out += block(held, now[1] != now[2])
+                        now, held = (group, lo, hi), []
+                    held.append((key, chunk, text))
+                if len(out) > 10_000:
+                    yield table(out)
+                    out = []
         if len(held) > 1:
             out += block(held, now[1] != now[2])
-        yield pd.DataFrame(out, columns=["_key", "_links", "_near"])
+        yield table(out)
 
     return run
 
@@ -225,7 +240,7 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     blocks = found.select("_group", "_key", "_chunk", "_text", other.alias("_other")).select(
         "_group", F.least("_chunk", "_other").alias("_lo"), F.greatest("_chunk", "_other").alias("_hi"), "_key", "_chunk", "_text")
     by = ["_group", "_lo", "_hi"]
-    verified = c.materialise(blocks.repartition(*by).sortWithinPartitions(*by).mapInPandas(
+    verified = c.materialise(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(
         _verify(threshold, shingle), "_key binary, _links long, _near binary"))
     links = verified.groupBy("_key").agg(F.sum("_links").alias("_links"))
     classes = components(verified.select(F.col("_key").alias("a"), F.col("_near").alias("b")))
