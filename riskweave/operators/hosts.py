@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,21 +96,31 @@ def classify_with_blocklist(df: DataFrame, blocklist: DataFrame, *, keys: list[s
                 .otherwise(F.col("_v")).cast(VERDICT_TYPE))
 
 
-def blocklist_status(blocklist: DataFrame, sha256: str) -> DataFrame:
-    """One row ``(hosts, ok)``: size and digest check of a host table.
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams sorted hosts: how many there are, and the digest of their list as compact JSON."""
+    digest, n = hashlib.sha256(b"["), 0
+    for batch in batches:
+        for host in batch["host"]:
+            digest.update((("," if n else "") + json.dumps(host)).encode())
+            n += 1
+    digest.update(b"]")
+    yield pd.DataFrame([(n, digest.hexdigest())], columns=["hosts", "sha256"])
 
-    The digest is defined over one sorted list of all hosts, so this needs the
-    list in one row; it is for pinned lists, not for corpora.
-    """
-    listed = F.array_sort(F.collect_set(F.lower("host")))
-    return blocklist.agg(listed.alias("_hosts")).select(
-        F.size("_hosts").alias("hosts"),
-        (F.sha2(F.to_json("_hosts"), 256) == F.lit(sha256)).alias("ok"))
+
+def blocklist_digest(blocklist: DataFrame) -> DataFrame:
+    """One row ``(hosts, sha256)``: number and digest of the distinct lower-case hosts in order. A digest is taken in order, so
+    the sorted hosts, one short string each, stream through one task; they are never gathered."""
+    return normalize_blocklist(blocklist).coalesce(1).mapInPandas(_digest, "hosts long, sha256 string")
+
+
+def blocklist_status(blocklist: DataFrame, sha256: str) -> DataFrame:
+    """One row ``(hosts, ok)``: size and digest check of a host table."""
+    return blocklist_digest(blocklist).select("hosts", (F.col("sha256") == F.lit(sha256)).alias("ok"))
 
 
 def normalize_blocklist(blocklist: DataFrame) -> DataFrame:
     """Lower-case distinct hosts in order."""
-    return blocklist.select(F.lower("host").alias("host")).distinct().orderBy("host")
+    return blocklist.filter(F.col("host").isNotNull()).select(F.lower("host").alias("host")).distinct().orderBy("host")
 
 
 def hosts_by_volume(scored: DataFrame) -> DataFrame:

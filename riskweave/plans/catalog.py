@@ -14,7 +14,7 @@ from ..operators import breaker, chat, chunks, evaluation, events, files, hosts,
 from ..streaming.breaker_stream import breaker_stream, danger_stream
 from ..streaming.chunk_stream import chunk_stream
 from ..streaming.guard_stream import guard_stream
-from . import views
+from . import tables, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -399,4 +399,4 @@ def queries() -> dict[str, Query]:
     table["danger_stream"] = danger_stream_query
     table["chunk_stream"] = chunk_stream_query
     table["guard_stream"] = guard_stream_query
-    return table
+    return {**table, **tables.queries()}

@@ -358,12 +358,12 @@ def line_test(column: str, risk: str, pattern: str) -> str:
     return f"({has(column, head)} AND NOT {has(column, head + '(?:' + banned)})"
 
 
-def file_ctes(skill: str = "source") -> str:
+def file_ctes(skill: str = "source", rules=LINE_RULES, benign: bool = True) -> str:
     rows = ", ".join(f"({i}, {q(f)}, {str(b).lower()}, {q(t)})" for i, (f, b, t) in enumerate(payloads.LINE_PAYLOADS))
     exts = ", ".join(q(e) for e in payloads.EXTENSIONS)
     scan = ", ".join(q(e) for e in file_scan.SCANNABLE_EXTENSIONS)
     data = ", ".join(q(e) for e in file_scan.DATA_EXTENSIONS)
-    first = " ".join(f"WHEN {line_test('t', risk, pat)} THEN {q(risk)}" for risk, pat in LINE_RULES)
+    first = " ".join(f"WHEN {line_test('t', risk, pat)} THEN {q(risk)}" for risk, pat in rules)
     keep = ", ".join(q(r) for r in file_scan.KEEP_BLOCK_RISKS)
     strip = f"regexp_replace(line, {q(f'^[{_SPACES}]+|[{_SPACES}]+$')}, '', 'g')"
     name = "regexp_escape(f)"
@@ -396,8 +396,8 @@ line_found AS (
          WHEN ext IN ({data}) THEN 'REVIEW' ELSE 'BLOCK' END AS severity,
     CASE WHEN risk IN ({keep}) THEN risk WHEN prose THEN risk || '{file_scan.PROSE_SUFFIX}'
          WHEN benign THEN risk || '{file_scan.BENIGN_SUFFIX}' ELSE risk END AS risk
-  FROM (SELECT *, (risk = {q(file_scan.PIPE_RISK)} AND {has('t', file_scan.BENIGN_PIPE_SOURCES)})
-               OR (risk = {q(file_scan.RM_RISK)} AND {has('t', file_scan.BENIGN_RM_SPECIFIC)}) AS benign
+  FROM (SELECT *, {str(benign).lower()} AND ((risk = {q(file_scan.PIPE_RISK)} AND {has('t', file_scan.BENIGN_PIPE_SOURCES)})
+               OR (risk = {q(file_scan.RM_RISK)} AND {has('t', file_scan.BENIGN_RM_SPECIFIC)})) AS benign
         FROM ruled WHERE risk IS NOT NULL)),
 idiom_found AS (
   SELECT skill, path, line_no, t AS context, 'REVIEW' AS severity, unnest(list_filter([
@@ -556,6 +556,12 @@ def _warning() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .oracle_tables import oracle_sql as more
+    given = _oracle_sql()
+    return {**given, **more(given)}
+
+
+def _oracle_sql() -> dict[str, str]:
     verdict_cols = f"code, action, {_JOINED}, matched"
     document_hosts = (f"WITH {PLANTED}, {host_ctes('', 'planted', 'doc_id', 'text')}")
     page_hosts = f"WITH {PAGES}, {host_ctes('', 'planted_pages', 'page_id', 'html')}"

@@ -123,6 +123,8 @@ def read_blocklist(spark: SparkSession, path: str | None = None):
 
 
 def event_time(text: Column) -> Column:
-    """The time of an event written as ISO 8601, with or without an offset (then UTC); NULL if it is none."""
+    """The time of an event written as ISO 8601, a day or with a time, with or without an offset (then UTC); NULL if it is
+    none."""
+    text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
     has_offset = text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
     return F.try_to_timestamp(F.when(has_offset, text).otherwise(F.concat(text, F.lit("Z"))))
