@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+EDGES_PER_PART = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """`edges`: a, b of one ordered type. Gives node, root (the smallest node of its component) for every node that
@@ -14,26 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours on the smallest node near it, then every node's smaller
     neighbours; the number of edges does not grow, and rounds grow with the logarithm of a component's size. Minima
-    are partial aggregates, so a node with many edges is no hot group. Each round is written to shared storage.
+    are partial aggregates, so a node with many edges is no hot group. Each round is written to shared storage; no round
+    is needed once the edges are stars.
     """
     def ordered(df: DataFrame) -> DataFrame:
         return df.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        """All nodes hang on one smaller node each, which hangs on none."""
+        nodes = df.select(F.col("a").alias("node"), "b", F.lit(0).alias("root")).unionByName(
+            df.select(F.col("b").alias("node"), F.lit(None).cast(df.schema["b"].dataType).alias("b"), F.lit(1).alias("root")))
+        seen = nodes.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("root").alias("root"))
+        return seen.where("low < high or (root = 1 and low is not null)").count() == 0
 
     edges = c.materialise(ordered(edges))
-    before = state(edges)
-    while before[0]:
+    parts = max(8, edges.count() // EDGES_PER_PART)  # the edges do not grow: few small files where they are few
+    while not settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = c.materialise(small.distinct())
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+        edges = c.materialise(small.distinct().coalesce(parts))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
