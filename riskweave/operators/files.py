@@ -24,7 +24,7 @@ from .matching import GuardedRules, literal_array
 _EXEC = python_to_java(values.EXEC_PATTERN)
 _LAUNCHCTL = python_to_java(values.LAUNCHCTL_PATTERN)
 _DOWNLOAD = python_to_java(values.DOWNLOAD_PATTERN)
-_EVERY_DOWNLOAD = python_to_java(values.DOWNLOAD_PATTERN.replace(r"[^\n]*", r"[^\n]*?"))
+_EVERY_DOWNLOAD = python_to_java(values.EVERY_DOWNLOAD_PATTERN)
 # Only line starts are consumed, so no run hides the next one.
 _RUN = python_to_java(r"(?:^|\n)(?=[^\S\n]*" + values.INTERPRETER_PREFIX.removeprefix(r"(?:^|\n)\s*") + r"(\S+))")
 _CHMOD = python_to_java(values.CHMOD_PREFIX + r"(?=(\S+))")

@@ -367,7 +367,7 @@ def file_ctes(skill: str = "source", rules=LINE_RULES, benign: bool = True) -> s
     keep = ", ".join(q(r) for r in file_scan.KEEP_BLOCK_RISKS)
     strip = f"regexp_replace(line, {q(f'^[{_SPACES}]+|[{_SPACES}]+$')}, '', 'g')"
     name = "regexp_escape(f)"
-    lazy = file_scan.DOWNLOAD_PATTERN.replace(r"[^\n]*", r"[^\n]*?")
+    lazy = file_scan.EVERY_DOWNLOAD_PATTERN
     allowed = "|".join(f"(?:{p})" for p in file_scan.ALLOWED_FETCH_CONTEXTS)
     return f"""line_payloads(pid, family, should_block, payload) AS (VALUES {rows}),
 tree AS (

@@ -39,6 +39,8 @@ REMOTE_FETCH_RISK = "remote fetch idiom"
 EXEC_EXCLUSIONS = ("re.compile", "ast.literal_eval")
 
 DOWNLOAD_PATTERN = r"""(?:curl|wget)[^\n]*https?://[^\n]*(?:-o|-O|>)\s*(\S+)"""
+# Not a published value: the same for each of several downloads on a line, up to what ends a command.
+EVERY_DOWNLOAD_PATTERN = r"""(?:curl|wget)[^\n]*?https?://[^\n]*?(?:-o|-O|>)\s*([^\s;&|]+)"""
 INTERPRETER_PREFIX = r"""(?:^|\n)\s*(?:sudo\s+)?(?:bash|sh|zsh|python3?|perl|ruby)\s+"""
 CHMOD_PREFIX = r"""chmod\s*\+x\s+"""
 LAUNCHCTL_PATTERN = r"""launchctl\s+(load|bootstrap)"""
