@@ -22,6 +22,7 @@ from . import common as c
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
 #: As common.PLAIN_WORD, for text whose case is kept, with what follows the word.
+BEFORE_WORDS = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WORD_AND_REST = r"[\x30-\x39\x41-\x5A\x61-\x7A\x80-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
@@ -101,7 +102,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id
     joined = rows.join(hits.select("_id", "_key", hit.alias("_hit")), _same(rows, hits), "left")
     parts = joined.withColumn("_parts", F.regexp_extract_all(F.col("_row")[text], F.lit(WORD_AND_REST), F.lit(0)))
     left = parts.withColumn("_left", F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_hit"))
-    cleaned = F.when(F.col("_hit").isNotNull(), F.array_join(F.transform("_left", lambda i: F.get("_parts", i)), "")).otherwise(F.col("_row")[text])
+    kept = F.concat(F.regexp_extract(F.col("_row")[text], BEFORE_WORDS, 0), F.array_join(F.transform("_left", lambda i: F.get("_parts", i)), ""))
+    cleaned = F.when(F.col("_hit").isNotNull(), kept).otherwise(F.col("_row")[text])
     return left.withColumn("_row", F.col("_row").withField(text, cleaned)).select("_row.*")
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from riskweave.llm import conversation_repair as repair
-from riskweave.llm import hard_negatives, packing, tensor_minhash
+from riskweave.llm import decontaminate, hard_negatives, packing, tensor_minhash
 
 UPPER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -320,3 +320,11 @@ def test_words_by_pieces_have_the_tokenizers_ids(spark, sf):
     whole = encoder.tokenizer.encode_batch(odd + words, add_special_tokens=False)
     assert all(ids is None or ids == e.ids for ids, e in zip(found, whole))
     assert sum(ids is None for ids in found) < 0.05 * len(words)
+
+
+def test_removed_spans_take_nothing_else(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, f"## [draft] {item.upper()} tail. End!"), (2, f"({item})"), (3, "## [draft] tail."), (4, f"Head, {item}; {item}? ok")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in rows_of(decontaminate.remove_contaminated(docs, items, remove="spans"))}
+    assert out == {1: "## [draft] tail. End!", 2: "(", 3: "## [draft] tail.", 4: "Head, ok"}
