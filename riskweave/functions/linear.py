@@ -206,10 +206,12 @@ def _ends_are_sure(items) -> bool:
 # --- forms -------------------------------------------------------------------
 
 def _flat(items) -> list:
-    """Groups without a count are opened, as long as they hold no alternatives."""
+    """Groups without a count are opened; alternatives stay one item."""
     out = []
     for op, arg in items:
-        if op is sre.SUBPATTERN and not any(x[0] is sre.BRANCH for x in arg[3]):
+        if op is sre.SUBPATTERN and (arg[1] or arg[2]):
+            raise _NotSure("flags")
+        if op is sre.SUBPATTERN:
             out += _flat(arg[3])
         else:
             out.append((op, arg))

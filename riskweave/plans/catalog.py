@@ -34,6 +34,10 @@ def verdicts_documents(spark, sf):
     return _joined(verdicts.classify_corpus(views.planted_documents(spark, sf), keys=["doc_id"]))
 
 
+def verdicts_long_rows(spark, sf):
+    return _joined(verdicts.classify_corpus(views.long_rows(spark, sf), keys=["row_id"]))
+
+
 def verdict_counts_by_lang(spark, sf):
     judged = verdicts.classify_corpus(views.planted_documents(spark, sf), keys=["doc_id", "lang"])
     return judged.groupBy("lang", "action").agg(F.count("*").alias("documents"))
@@ -381,7 +385,7 @@ def document_lines(spark, sf):
 
 def queries() -> dict[str, Query]:
     named = [
-        verdicts_documents, verdict_counts_by_lang, guard_envelopes, findings_all_rules, top_rules_by_source,
+        verdicts_documents, verdicts_long_rows, verdict_counts_by_lang, guard_envelopes, findings_all_rules, top_rules_by_source,
         findings_rule_table, findings_user_rules, rule_table_verdicts, risky_lines, risky_line_summary, decoded_payloads, document_lines,
         hosts_extracted, page_url_hosts, host_signals, host_verdicts, blocklist_hits,
         verdicts_joined_blocklist,

@@ -569,6 +569,9 @@ def _oracle_sql() -> dict[str, str]:
     audit = "conv_id, turn, code = 0 AS allowed, action AS verdict, code"
     return {
         "verdicts_documents": _documents(f"SELECT doc_id, {verdict_cols} FROM v_verdict"),
+        "verdicts_long_rows": f"""WITH long_rows AS (
+  SELECT doc_id // 32 AS row_id, string_agg(coalesce(text, '') || ' ' || repeat(([{', '.join(q(b) for b in payloads.BEGINNINGS)}])[doc_id % {len(payloads.BEGINNINGS)} + 1], 40), ' ' ORDER BY doc_id) AS text
+  FROM documents GROUP BY 1), {verdict_ctes('long_rows', 'row_id')} SELECT row_id, {verdict_cols} FROM v_verdict""",
         "verdict_counts_by_lang": _documents(
             "SELECT lang, action, count(*) AS documents FROM v_verdict JOIN planted USING (doc_id) GROUP BY lang, action"),
         "guard_envelopes": _documents(

@@ -86,6 +86,13 @@ TEXT_PAYLOADS = (
 )
 TEXT_MODULUS = 97
 
+# Beginnings of commands that no rule's rest follows; many of them in one row are what backtracking is slow on.
+BEGINNINGS = (
+    "curl https://mirror.test/x -o x ", "wget -qO- out ", "python3 -c ' import os ", "perl -e ' print ", "node -e ' run ", "bash -c ' ls ",
+    "echo c29tZXRleHQ ", "copy this text ", "you should read ", "we can open ", "confirm(' sure ", "openssl enc -d ", "new Function(' x ",
+    "start with hackers to study ", "chmod +x /tmp/ ",
+)
+
 PAGE_PAYLOADS = (
     "eval( 'alert(1);' )",
     "eval(\"document.location = 'http://land.test/next'\")",

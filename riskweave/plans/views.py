@@ -51,6 +51,14 @@ def planted_documents(spark, sf_dir) -> DataFrame:
         F.coalesce(_pick([str(c) for c in codes], key, payloads.TEXT_MODULUS), F.lit("0")).cast("int").alias("expected"))
 
 
+def long_rows(spark, sf_dir) -> DataFrame:
+    """Thirty-two documents on end in a row, some 80 kB, each followed by forty of one beginning."""
+    docs = table(spark, sf_dir, "documents").withColumn("row_id", F.floor(F.col("doc_id") / 32))
+    begun = F.repeat(_pick(payloads.BEGINNINGS, F.col("doc_id"), len(payloads.BEGINNINGS)), F.lit(40))
+    parts = docs.select("row_id", "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), begun).alias("text"))
+    return parts.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x.text), " ").alias("text"))
+
+
 def phrase_rules(spark, sf_dir) -> DataFrame:
     """A rule per four words on end in a benchmark item, as users would keep them in a table."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
@@ -140,6 +148,10 @@ def chat_records(spark, sf_dir) -> DataFrame:
     parts = F.to_json(F.struct(F.struct(role, F.array(F.struct(F.lit("text").alias("type"), text)).alias("content")).alias("message")))
     deep = F.to_json(F.struct(role, F.struct(F.array(F.struct(F.struct(text.alias("output_text")).alias("text"))).alias("content")).alias("content")))
     strings = F.to_json(F.struct(role, F.array(text, F.lit("")).alias("content")))
+    # One in three of these is nested fifty levels deep.
+    far = F.concat(F.lit('{"role":'), F.to_json(F.array(role)).substr(F.lit(2), F.length(F.to_json(F.array(role))) - 2), F.lit(',"content":'),
+                   F.lit('{"content":[' * 25), F.to_json(F.array(text)), F.lit("]}" * 25), F.lit("}"))
+    deep = F.when(F.col("conv_id") % 3 == 0, far).otherwise(deep)
     shape = (F.col("conv_id") + F.col("turn")) % 4
     return turns.select("conv_id", "turn", F.when(shape == 0, flat).when(shape == 1, parts)
                         .when(shape == 2, deep).otherwise(strings).alias("record"))

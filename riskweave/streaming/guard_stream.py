@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.verdicts import guard_envelope
 
 
@@ -13,12 +14,13 @@ def guard_stream(messages: DataFrame, allowed_path: str, refused_path: str, chec
                  keys: list[str], text_col: str = "text", trigger: dict | None = None, **options):
     """Starts the query. A micro-batch is judged once and written to both sinks."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = guard_envelope(batch, keys=keys, text_col=text_col, **options).persist()
-        try:
-            for path, side in ((allowed_path, F.col("allowed")), (refused_path, ~F.col("allowed"))):
-                judged.filter(side).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        finally:
-            judged.unpersist()
+        spark, judged_path = batch.sparkSession, storage.scratch(batch.sparkSession)
+        judged = guard_envelope(batch, keys=keys, text_col=text_col, **options)
+        judged.write.parquet(judged_path)
+        judged = spark.read.schema(judged.schema).parquet(judged_path)
+        for path, side in ((allowed_path, F.col("allowed")), (refused_path, ~F.col("allowed"))):
+            judged.filter(side).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        storage.delete(spark, judged_path)
 
     return (messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
