@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise  # noqa: F401 - the operators write and read back their intermediate tables by it
+
 #: Words between white space, case kept: [^\x20\x09-\x0D]+, written as ranges, which Java matches several times faster.
 SPACED_WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 #: Words of letters, digits and everything beyond ASCII, after A-Z were lower-cased: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
@@ -61,26 +59,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode_outer(F.array(F.struct("*"))).alias("_all")).select("_all.*")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the cluster names none, as in
-    tests on one machine, a folder is made and set."""
-    name = "spark.checkpoint.dir"
-    base = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="riskweave-shared-")
-        spark.conf.set(name, base)
-    return base
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors lose nothing, and
-    later plans know its size."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"riskweave-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 BROADCAST_ROWS = 500_000
 
 
