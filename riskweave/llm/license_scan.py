@@ -119,10 +119,11 @@ lone AS (SELECT DISTINCT doc_id, template, diagonal FROM hit WHERE NOT is_base),
 new AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {DRIFT} THEN 0 ELSE 1 END AS n FROM lone
         WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 span AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM new),
-merged AS (SELECT doc_id, template, label, pairs, span, count(DISTINCT tpos) / pairs AS coverage,
-                  max(diagonal + tpos) - min(diagonal + tpos) + 1 AS width
-           FROM hit JOIN span USING (doc_id, template, diagonal) GROUP BY doc_id, template, label, pairs, span),
-own AS (SELECT doc_id, label, coverage FROM merged WHERE coverage >= {COVERAGE} AND width <= {STRETCH} * pairs + 1),
+vote AS (SELECT doc_id, template, label, pairs, span, tpos, diagonal + tpos AS at FROM hit JOIN span USING (doc_id, template, diagonal)),
+stretch AS (SELECT a.doc_id, a.label, a.at, a.tpos, count(DISTINCT b.tpos) / a.pairs AS coverage
+            FROM vote AS a JOIN vote AS b ON a.doc_id = b.doc_id AND a.template = b.template AND a.span = b.span AND b.at BETWEEN a.at AND a.at + {STRETCH} * a.pairs
+            GROUP BY a.doc_id, a.template, a.label, a.pairs, a.at, a.tpos, a.span),
+own AS (SELECT doc_id, label, coverage FROM stretch WHERE coverage >= {COVERAGE}),
 every AS (SELECT doc_id, label, 1.0::DOUBLE AS score, diagonal, label AS base FROM place
           UNION ALL SELECT doc_id, label, coverage, NULL, NULL FROM own),
 f AS (SELECT doc_id, count(diagonal) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,

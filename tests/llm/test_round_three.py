@@ -7,11 +7,13 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from riskweave.llm import conversation_repair as repair
-from riskweave.llm import decontaminate, hard_negatives, packing, tensor_minhash
+from riskweave.llm import decontaminate, hard_negatives, license_scan, packing, tensor_minhash
 
 UPPER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -328,3 +330,27 @@ def test_removed_spans_take_nothing_else(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     out = {r["doc_id"]: r["text"] for r in rows_of(decontaminate.remove_contaminated(docs, items, remove="spans"))}
     assert out == {1: "## [draft] tail. End!", 2: "(", 3: "## [draft] tail.", 4: "Head, ok"}
+
+
+def test_lists_of_licenses_equal_their_twin(spark):
+    """Lists that repeat phrases, phrases with words put in or left out, and the base phrases between them."""
+    rng = np.random.default_rng(6)
+    phrases = [x[0] for x in license_scan.OWN + license_scan.BASE]
+    texts = ["CC BY-NC, CC BY-SA, CC BY-ND", "Mozilla Public License Mozilla Public License", "cc by and more by nc", "", None, "word"]
+    for _ in range(120):
+        words = []
+        for _ in range(int(rng.integers(1, 6))):
+            own = phrases[rng.integers(len(phrases))].split()
+            at = int(rng.integers(len(own)))
+            own[at:at + int(rng.integers(2))] = ["extra"] * int(rng.integers(3))
+            words += own + ["and"] * int(rng.integers(4))
+        texts.append(" ".join(words))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    db = duckdb.connect()
+    db.register("documents", documents)
+    result = db.execute(license_scan.ORACLE_SQL)
+    names = [d[0] for d in result.description]
+    theirs = sorted(repr(dict(zip(names, r))) for r in result.fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(repr({n: r[n] for n in names}) for r in rows_of(license_scan.find_licenses(df))) == theirs
+    assert sum("gpl" in x for x in theirs) > 20
