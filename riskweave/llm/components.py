@@ -30,13 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
         return seen.where("low < high or (root = 1 and low is not null)").count() == 0
 
     edges = c.materialise(ordered(edges))
-    parts = max(8, edges.count() // EDGES_PER_PART)  # the edges do not grow: few small files where they are few
+    n = edges.count()  # it does not grow
+    parts = max(8, n // EDGES_PER_PART)  # few small files where edges are few
+
+    def by_node(df: DataFrame) -> DataFrame:
+        """A table of at most two rows per edge, broadcast while that is few."""
+        return F.broadcast(df) if 2 * n <= c.BROADCAST_ROWS else df
+
     while not settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(by_node(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = c.materialise(small.distinct().coalesce(parts))
+        joined = large.join(by_node(least), "a")
+        hung = F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(
+            F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        edges = c.materialise(joined.select(hung.alias("_e")).select("_e.a", "_e.b").distinct().coalesce(parts))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
