@@ -60,7 +60,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql_twin(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     result = db.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in result.description]
