@@ -142,12 +142,14 @@ def test_chat_shapes(spark):
     records = [{"role": "assistant", "content": c} for c in contents] + [
         {"message": {"role": "Model", "content": "m"}, "role": "user"}, {"role": "agent", "output": "o"}, ["list"], {"role": "user", "content": "u"}]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id int, record string")
+    cut = {r.id: (r.role, r.text) for r in chat.flatten_chat(df, keys=["id"], max_depth=8).collect()}
+    for i, c in enumerate(contents):  # the published limit
+        assert cut[i] == ("assistant", "\n".join(t for t in _fragments(c) if t))
     got = {r.id: (r.role, r.text) for r in chat.flatten_chat(df, keys=["id"]).collect()}
-    for i, c in enumerate(contents):
-        assert got[i] == ("assistant", "\n".join(t for t in _fragments(c) if t))
+    assert {i for i in got if got[i] != cut[i]} == {contents.index([deep])} and got[contents.index([deep])] == ("assistant", "x")
     n = len(contents)
     assert got[n] == ("model", "m") and got[n + 1] == ("agent", "o") and got[n + 2] == (None, "") and got[n + 3][0] == "user"
-    assert chat.assistant_turns(chat.flatten_chat(df, keys=["id"])).count() == 7
+    assert chat.assistant_turns(chat.flatten_chat(df, keys=["id"])).count() == 8
 
 
 def test_guard_json(spark):
