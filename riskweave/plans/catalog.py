@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -256,6 +257,19 @@ def danger_watch_hourly(spark, sf):
     return _micros(watched, "window_start", "window_end")
 
 
+@contextmanager
+def _few_states(spark):
+    """State partitions of the streams that start here: at most one per core. Each costs a store and a worker in every
+    micro-batch, with or without rows, and logs and windows are few."""
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    spark.conf.set(name, min(int(given), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def _alerts_of_feed(spark, sf, build):
     """What a streaming query writes for the late and shuffled feed of the guard events, file after file."""
     base = storage.scratch(spark)
@@ -264,8 +278,10 @@ def _alerts_of_feed(spark, sf, build):
         piece.write.mode("append").parquet(f"{base}/in")
         stream = build(spark.readStream.schema(piece.schema).parquet(f"{base}/in"))
         schema = stream.schema
-        (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+        with _few_states(spark):
+            running = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+                       .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        running.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 

@@ -1,11 +1,12 @@
 import datetime
 import time
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from riskweave.operators import breaker, chunks
-from riskweave.plans import views
-from riskweave.streaming.breaker_stream import breaker_stream, danger_stream
+from riskweave.plans import catalog, views
+from riskweave.streaming.breaker_stream import BreakerProcessor, breaker_stream, danger_stream
 from riskweave.streaming.chunk_stream import chunk_stream
 from riskweave.streaming.guard_stream import guard_stream
 
@@ -110,6 +111,75 @@ def test_events_of_one_instant_in_different_files(spark, folder):
     assert {(r.log, r.epoch, r.event_id) for r in got} == {(r.log, r.epoch, r.event_id) for r in want} and len(want) == 6
 
 
+class _State:
+    """A list or value state in memory that counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = []
+
+    def __getattr__(self, name):
+        def call(value=None):
+            _State.calls += 1
+            if name == "exists":
+                return bool(self.kept)
+            if name == "get":
+                return iter(self.kept) if self.many else self.kept[0]
+            self.kept = [*self.kept, value] if name == "appendValue" else [*self.kept, *value] if name == "appendList" else [
+                value] if name == "update" else list(value) if name == "put" else []
+        return call
+
+
+def test_the_breaker_asks_the_state_once_for_many_events(spark):
+    """Every call of the state waits for an answer of the JVM, so there must not be one per event."""
+    class Handle:
+        def getListState(self, *_):
+            return self._made(True)
+
+        def getValueState(self, *_):
+            return self._made(False)
+
+        def _made(self, many):
+            state = _State()
+            state.many = many
+            return state
+
+        def registerTimer(self, _):
+            _State.calls += 1
+
+        deleteTimer = registerTimer
+
+    class Times:
+        def __init__(self, millis):
+            self.getCurrentWatermarkInMs = lambda: millis
+
+    n = 30_000
+    processor = BreakerProcessor("long", 10, 3)
+    processor.init(Handle())
+    _State.calls = 0
+    rows = [Row(micros=(n - i) * 1_000_000, event=i, dangerous=True, chat=i % 10 == 0, reset=False) for i in range(n)]
+    assert not list(processor.handleInputRows(("a",), iter(rows), None))
+    first = list(processor.handleExpiredTimer(("a",), Times(n * 500), None))
+    assert 0 < len(processor.waiting.kept) <= n / 2
+    last = list(processor.handleExpiredTimer(("a",), Times(n * 2000), None))
+    assert [r.event for r in first + last] == [i for i in range(n - 1, -1, -1) if i % 10 == 0 and i < n - 2] and first and last
+    assert not processor.waiting.kept and _State.calls < 60
+
+
+def test_streams_start_with_few_states(spark):
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    try:
+        for asked in ("400", "1"):
+            spark.conf.set(name, asked)
+            with catalog._few_states(spark):
+                assert int(spark.conf.get(name)) == min(int(asked), spark.sparkContext.defaultParallelism)
+            assert spark.conf.get(name) == asked
+    finally:
+        spark.conf.set(name, given)
+
+
 def test_danger_stream(spark, sf, folder):
     df = views.guard_events(spark, sf).select("ts", "verdict")
     stream = _as_files(df, f"{folder}/in", ["ts"], 2)
