@@ -98,7 +98,7 @@ def _groups(parsed) -> list[tuple[str, ...]]:
             groups.extend(_groups(inner))
         elif op is sre.BRANCH:
             close()
-            best = [_best(_groups(branch)) for branch in arg[1]]
+            best = [best_group(_groups(branch)) for branch in arg[1]]
             if all(best):
                 groups.append(tuple(dict.fromkeys(word for group in best for word in group)))
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
@@ -107,13 +107,13 @@ def _groups(parsed) -> list[tuple[str, ...]]:
         else:
             close()
     close()
-    return [group for group in groups if all(_telling(word) for word in group)]
+    return [group for group in groups if all(telling(word) for word in group)]
 
 
-def _telling(word: str) -> bool:
+def telling(word: str) -> bool:
     return len(word) >= 2 or word in "|<>$\x1b\x08"
 
 
-def _best(groups):
+def best_group(groups):
     """The group whose shortest literal is longest, then the one with fewest literals."""
     return max(groups, key=lambda g: (min(map(len, g)), -len(g)), default=None)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave import storage
+from riskweave.functions import grams
 from riskweave.operators import chat, files, matching, pages, rule_table, rules, verdicts
 from riskweave.plans import oracle, payloads, tables, views
 from riskweave.sources import readers
@@ -169,6 +172,42 @@ def test_table_verdicts_equal_the_cascade(spark, sf):
     assert {r.code for r in rule_table.classify_by_table(df, none, keys=["id"]).collect()} == {0}
 
 
+def test_grams_miss_no_match():
+    """Every rule that matches a text is among the rules found for it, in texts cut over several parts as well."""
+    rng = random.Random(7)
+    words = ["of", "the", "tion", "onst", "ñasé", "a|b", "x"]
+    marks = [" ", ", ", ". ", "!?  ", "\t"]
+    patterns = [r"\b" + r"[ ,.;:!?]+".join(rng.choices(words[:5], k=4)) for _ in range(40)]
+    patterns += [r"the\s*(?:tion|onst)\s+of", r"(of|the)\s*tion", r"x", r"a\|b", r"(?:the[ .]+)+tion", r"tion(?= the)\s+the", r"of[^x]the", r"[xyz]{2}"]
+    pairs = [(g, n) for n, p in enumerate(patterns) for g in grams.grams_of_pattern(p)]
+    texts = ["".join(w + rng.choice(marks) for w in rng.choices(words, k=rng.randrange(60))) for _ in range(300)] + ["", None, "tion of"]
+    long = "onst, " * 500_000
+    texts += [long + "tion, of ñasé", long[:-2]]
+    for find in (grams.finder(pairs), grams.all_grams(sorted({len(g.to_bytes(8, "big", signed=True).lstrip(b"\0")) for g, _ in pairs}))):
+        column = pa.array(["before", *texts], pa.string())[1:]
+        found = [set(x) for x in find(column).to_pylist()]
+        assert len(found) == len(texts)
+        for text, numbers in zip(texts, found, strict=True):
+            for n, pattern in enumerate(patterns):
+                if text is not None and re.search(pattern, text):
+                    assert n in numbers if find.__qualname__.startswith("finder") else numbers & {g for g, m in pairs if m == n}
+
+
+def test_phrases_of_common_words_have_few_candidates(spark, sf, monkeypatch):
+    """Words that many texts hold tell a phrase apart only together; texts are not shuffled for a small index."""
+    index = rule_table.index_rules(views.phrase_rules(spark, sf))
+    docs = views.table(spark, sf, "documents")
+    texts = rule_table._normal(docs, ["doc_id"], "text", True)
+    pairs = index.select("ref", F.explode("grams").alias("_gram")).collect()
+    met = rule_table._met_in_row(texts, index.select("ref"), pairs)
+    assert met.count() < 20 * docs.count() and index.count() > 1000
+    found = rule_table.match_rule_table(docs, index, keys=["doc_id"])
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(rule_table, "BROADCAST_GRAMS", 10)
+    assert rows == sorted(tuple(r) for r in rule_table.match_rule_table(docs, index, keys=["doc_id"]).collect()) and rows
+
+
 # --- storage -------------------------------------------------------------------
 
 def test_intermediate_tables_can_be_cleared(spark):
