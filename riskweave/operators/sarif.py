@@ -27,24 +27,36 @@ def _filled(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def _named_severity(candidate: Column) -> Column:
-    """A severity name as it is, or the band of a score above zero, else NULL."""
-    name = F.lower(candidate)
+def _candidates(properties: Column, rule_properties: Column) -> list[Column]:
+    """The result's and the rule's severities in order of precedence, in lower case."""
+    return [F.lower(_filled(F.try_element_at(holder, F.lit(key))))
+            for holder in (properties, rule_properties) for key in ("security-severity", "severity")]
+
+
+def _score(name: Column) -> Column:
     # The cast would also take Java's type suffixes, as in 9d.
-    score = F.when(~name.rlike("[0-9.][df]$"), F.trim(name).try_cast("double"))
+    return F.when(~name.isin(*values.SEVERITIES) & ~name.rlike("[0-9.][df]$"), F.trim(name).try_cast("double"))
+
+
+def _named_severity(name: Column, score: Column) -> Column:
+    """A severity name as it is, or the band of a score above zero, else NULL."""
     return F.when(name.isNotNull(), F.when(name.isin(*values.SEVERITIES), name).when(F.isnan(score), F.lit(None))
                   .when(score >= 9.0, "critical").when(score >= 7.0, "high")
                   .when(score >= 4.0, "medium").when(score > 0, "low"))
 
 
-def severity(properties: Column, rule_properties: Column, level: Column) -> Column:
-    """The first usable of the result's and the rule's severities, else the level's."""
-    candidates = [_named_severity(_filled(F.try_element_at(holder, F.lit(key))))
-                  for holder in (properties, rule_properties) for key in ("security-severity", "severity")]
+def _add_severity(rows: DataFrame, properties: Column, rule_properties: Column, level: Column) -> DataFrame:
+    """Adds ``severity``: the first usable of the result's and the rule's severities, else the level's.
+    Names and scores are columns of their own, so that each is worked out once."""
+    at = range(4)
     by_level = F.lit(None).cast("string")
     for name, meaning in values.SARIF_LEVELS:
         by_level = F.when(F.lower(level) == name, meaning).otherwise(by_level)
-    return F.coalesce(*candidates, by_level, F.lit("unknown"))
+    rows = rows.withColumns({f"_name{i}": name for i, name in enumerate(_candidates(properties, rule_properties))})
+    rows = rows.withColumns({f"_score{i}": _score(F.col(f"_name{i}")) for i in at})
+    named = [_named_severity(F.col(f"_name{i}"), F.col(f"_score{i}")) for i in at]
+    return rows.withColumn("severity", F.coalesce(*named, by_level, F.lit("unknown"))).drop(
+        *[f"{part}{i}" for part in ("_name", "_score") for i in at])
 
 
 _RULES = "id string, shortDescription struct<text: string>, properties map<string,string>"
@@ -91,23 +103,17 @@ def parse_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", m
 
 def _results_with_rules(run: Column) -> Column:
     """The results of a run, each with the metadata of its rule; of two rules with
-    one id the last counts."""
-    rules = F.reverse(F.filter(run.tool.driver.rules, lambda r: F.coalesce(r.id, F.lit("")) != ""))
-
-    def paired(rs):
-        def pair(ids):
-            def one(result):
-                at = F.array_position(ids, F.coalesce(_filled(result.ruleId), F.lit("unknown")))
-                return F.struct(result.alias("result"), F.when(at > 0, F.get(rs, (at - 1).cast("int"))).alias("rule"))
-            return F.transform(F.filter(run.results, lambda r: r.isNotNull()), one)
-        return let(F.transform(rs, lambda r: r.id), pair)
-
-    return F.when(rules.isNotNull(), let(rules, paired)).otherwise(F.transform(
-        F.filter(run.results, lambda r: r.isNotNull()),
-        lambda result: F.struct(result.alias("result"), F.lit(None).cast(_RULE_TYPE).alias("rule"))))
+    one id the last counts. The ids are taken from the list as a whole, no rule is looked at by itself."""
+    rules = run.tool.driver.rules
 
+    def paired(ids):
+        def one(result):
+            # The id that is looked for is never empty, nor is a rule without one found.
+            at = F.array_position(ids, F.coalesce(_filled(result.ruleId), F.lit("unknown")))
+            return F.struct(result.alias("result"), let(at, lambda n: F.when(n > 0, F.get(rules, (F.size(ids) - n).cast("int")))).alias("rule"))
+        return F.transform(F.filter(run.results, lambda r: r.isNotNull()), one)
 
-_RULE_TYPE = "struct<id: string, shortDescription: struct<text: string>, properties: map<string,string>>"
+    return let(F.reverse(rules.getField("id")), paired)
 
 
 def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document", strict: bool = True,
@@ -133,9 +139,8 @@ def normalize_sarif(df: DataFrame, *, keys: list[str], json_col: str = "document
     is_object = F.ltrim(result.message).startswith("{")
     text = F.when(is_object, F.get_json_object(result.message, "$.text")).otherwise(result.message)
     place = F.get(result.locations, F.lit(0)).physicalLocation
-    rows = rows.select(
-        *keys, "pos", rule_id.alias("id"), F.coalesce(_filled(rule.shortDescription.text), rule_id).alias("title"),
-        severity(result.properties, rule.properties, result.level).alias("severity"),
+    rows = _add_severity(rows, result.properties, rule.properties, result.level).select(
+        *keys, "pos", rule_id.alias("id"), F.coalesce(_filled(rule.shortDescription.text), rule_id).alias("title"), "severity",
         (F.coalesce(text, F.lit("")) if max_message is None else F.left(F.coalesce(text, F.lit("")), F.lit(max_message))).alias("message"),
         _filled(place.artifactLocation.uri).alias("path"), place.region.startLine.alias("line"),
         _filled(F.get(F.map_values(result.partialFingerprints), F.lit(0))).alias("_given"))

@@ -159,22 +159,26 @@ def chat_records(spark, sf_dir) -> DataFrame:
 
 def sarif_documents(spark, sf_dir) -> DataFrame:
     """Orders as SARIF reports: one document per order, one result per line item."""
-    items = table(spark, sf_dir, "lineitem")
-    part = F.col("l_partkey")
-    rule_id = F.concat(F.lit("RULE"), (part % 40).cast("string"))
-    level = F.get(literal_array(["error", "warning", "note", "none", "other"]), (part % 5).cast("int"))
-    by_score = F.when(part % 3 == 0, F.create_map(F.lit("security-severity"), (F.col("l_quantity") / 5).cast("decimal(6,1)").cast("string")))
-    result = F.struct(
-        rule_id.alias("ruleId"), level.alias("level"),
-        F.struct(F.concat(F.lit("ships by "), "l_returnflag").alias("text")).alias("message"),
-        by_score.alias("properties"),
-        F.when(part % 4 == 0, F.create_map(F.lit("primary"), F.concat(F.lit("fp-"), part.cast("string")))).alias("partialFingerprints"),
-        F.when(part % 7 != 0, F.array(F.struct(F.struct(
-            F.struct(F.concat(F.lit("src/"), part.cast("string"), F.lit(".py")).alias("uri")).alias("artifactLocation"),
-            F.struct(F.col("l_suppkey").cast("int").alias("startLine")).alias("region")).alias("physicalLocation")))).alias("locations"))
-    # An order has a handful of line items, so this group is small for every key.
-    grouped = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
-        F.struct("l_linenumber", F.to_json(result).alias("result")))).alias("_r"))
+    # The columns are shuffled, not the texts made from them. An order has a handful of line items, so the groups are small.
+    names = ("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_suppkey")
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(*names)).alias("_items"))
+
+    def numbered(item: Column) -> Column:
+        part = item.l_partkey
+        rule_id = F.concat(F.lit("RULE"), (part % 40).cast("string"))
+        level = F.get(literal_array(["error", "warning", "note", "none", "other"]), (part % 5).cast("int"))
+        by_score = F.when(part % 3 == 0, F.create_map(F.lit("security-severity"), (item.l_quantity / 5).cast("decimal(6,1)").cast("string")))
+        result = F.struct(
+            rule_id.alias("ruleId"), level.alias("level"),
+            F.struct(F.concat(F.lit("ships by "), item.l_returnflag).alias("text")).alias("message"),
+            by_score.alias("properties"),
+            F.when(part % 4 == 0, F.create_map(F.lit("primary"), F.concat(F.lit("fp-"), part.cast("string")))).alias("partialFingerprints"),
+            F.when(part % 7 != 0, F.array(F.struct(F.struct(
+                F.struct(F.concat(F.lit("src/"), part.cast("string"), F.lit(".py")).alias("uri")).alias("artifactLocation"),
+                F.struct(item.l_suppkey.cast("int").alias("startLine")).alias("region")).alias("physicalLocation")))).alias("locations"))
+        return F.struct(item.l_linenumber.alias("l_linenumber"), F.to_json(result).alias("result"))
+
+    grouped = grouped.select("l_orderkey", F.array_sort(F.transform("_items", numbered)).alias("_r"))
     rules = F.array(*[F.struct(
         F.lit(f"RULE{i}").alias("id"), F.struct(F.lit(f"Rule number {i}").alias("text")).alias("shortDescription"),
         F.create_map(F.lit("severity"), F.lit(values.SEVERITIES[i % 6])).alias("properties")) for i in range(0, 40, 2)])

@@ -337,3 +337,33 @@ def test_a_tampered_list_makes_texts_reviewable(spark):
     listed = spark.createDataFrame([("zezipod.ct.ws",)], "host string")
     got = {r.id: r.code for r in hosts.classify_with_blocklist(texts, listed, keys=["id"], trusted=False, max_bytes=40).collect()}
     assert got == {1: 1, 2: 0, 3: 2, 4: 2, 5: 2}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sarif_rules_are_looked_up_without_a_pass_over_them(spark):
+    rules = [{"id": "A", "properties": {"severity": "low"}}, {"id": ""}, None, {"id": "unknown", "properties": {"severity": "high"}},
+             {"id": "A", "shortDescription": {"text": "last"}, "properties": {"severity": "critical"}}, {"properties": {"severity": "low"}}]
+    results = [{"ruleId": "A"}, {"ruleId": ""}, {"ruleId": "B", "properties": {"security-severity": "7.5"}}, {}]
+    documents = [(1, rules), (2, []), (3, None)]
+    rows = [(key, json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"rules": listed}}, "results": results}]})) for key, listed in documents]
+    found = sarif.normalize_sarif(spark.createDataFrame(rows, "doc long, document string"), keys=["doc"])
+    got = [(r.doc, r.id, r.title, r.severity) for r in found.orderBy("doc", "pos").collect()]
+    assert got[:4] == [(1, "A", "last", "critical"), (1, "unknown", "unknown", "high"), (1, "B", "B", "high"), (1, "unknown", "unknown", "high")]
+    assert got[4:] == [(key, name, name, severity) for key in (2, 3)
+                       for name, severity in (("A", "unknown"), ("unknown", "unknown"), ("B", "high"), ("unknown", "unknown"))]
+    # Before, each rule of a document was looked at twice: a filter for those with an id.
+    assert "tool.driver.rules, lambdafunction((NOT" not in _plan(found) and "reverse(filter(" not in _plan(found)
+
+
+def test_sarif_documents_shuffle_columns(spark, tmp_path):
+    items = [(o, n, 40 * o + n, float(n), "R", n) for o in range(1, 4) for n in (3, 1, 2, 2)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string, l_suppkey long").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    documents = views.sarif_documents(spark, str(tmp_path))
+    got = {r.l_orderkey: [x["ruleId"] for x in json.loads(r.document)["runs"][0]["results"]] for r in documents.collect()}
+    assert got == {o: ["RULE1", "RULE2", "RULE2", "RULE3"] for o in range(1, 4)}
+    aggregate = next(line for line in _plan(documents).split("\n") if "Aggregate [" in line)
+    assert "collect_list" in aggregate and "to_json" not in aggregate
