@@ -205,7 +205,8 @@ def verdicts_limited(spark, sf):
 def sorted_findings(spark, sf):
     """The report order of the findings of each document, as a rank."""
     from pyspark.sql import Window as W
-    found = sarif.normalize_sarif(views.sarif_documents(spark, sf), keys=["l_orderkey"])
+    # A global order reads its input twice, for the ranges and for the rows; findings are read then, not reports.
+    found = storage.materialise(sarif.normalize_sarif(views.sarif_documents(spark, sf), keys=["l_orderkey"]))
     ordered = sarif.sorted_findings(found, keys=["l_orderkey"])
     order = W.partitionBy("l_orderkey").orderBy(F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), "id", "fingerprint")
     return ordered.select("l_orderkey", "id", "path", "line", F.row_number().over(order).alias("rank"))
