@@ -46,6 +46,29 @@ BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b n
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Numbers(dict):
+    """Numbers words as they come, in one pass over them; ``new`` holds those whose ids are not known yet, in order."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+def appended(buffer: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The buffer with more behind its used part; a full one doubles, so that no value is copied for every batch."""
+    if used + len(more) > len(buffer):
+        grown = np.empty(max(2 * len(buffer), used + len(more)), buffer.dtype)
+        grown[:used] = buffer[:used]
+        buffer = grown
+    buffer[used:used + len(more)] = more
+    return buffer
+
+
 class WordEncoder:
     """Ids of words, each distinct one tokenised once (until the table is full and starts anew)."""
 
@@ -57,12 +80,14 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Numbers()
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.learned = self.filled = 0
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.at))
+    def learn(self) -> None:
+        """Ids of the new words, behind those of the words before them."""
+        new = self.at.new
         if not new:
             return
         if len(self.pieces) > PIECES_KEPT:
@@ -72,14 +97,25 @@ class WordEncoder:
         for i, e in zip(rest, self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)):
             ids[i] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.update(zip(new, itertools.count(len(self.size))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.first = appended(self.first, self.learned, self.filled + np.cumsum(sizes) - sizes)
+        self.size = appended(self.size, self.learned, sizes)
+        self.flat = appended(self.flat, self.filled, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+        self.learned += len(new)
+        self.filled += int(sizes.sum())
+        self.at.new = []
 
     def by_pieces(self, word: str) -> list[int] | None:
         """Ids by the model alone, for words whose pieces are plain: the tokenizer's normalising and splitting cost four times
         as much as the model. None for all others, which take the whole way."""
+        if word.isalpha():  # one piece, which is as distinct as the word
+            if word.isascii():
+                piece = word.lower()
+            elif "\u0130" in word or "\u03a3" in word or not unicodedata.is_normalized("NFC", word):
+                return None
+            else:
+                piece = word.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+            known = self.pieces.get(piece)
+            return [t.id for t in self.model.tokenize(piece)] if known is None else known
         if "<|" in word:
             return None
         if word.isascii():
@@ -102,11 +138,14 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and how many each word has."""
-        distinct = set(words)
-        if len(self.at) + len(distinct) > self.words_kept:
+        if len(self.at) >= self.words_kept:
             self.clear()
-        self.learn(distinct)
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        try:
+            self.learn()
+        except BaseException:
+            self.clear()  # no word may stay numbered without its ids
+            raise
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         from_ = np.repeat(self.first[at] - (ends - sizes), sizes)

@@ -354,3 +354,40 @@ def test_lists_of_licenses_equal_their_twin(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert sorted(repr({n: r[n] for n in names}) for r in rows_of(license_scan.find_licenses(df))) == theirs
     assert sum("gpl" in x for x in theirs) > 20
+
+
+def test_words_of_letters_skip_the_patterns(monkeypatch):
+    encoder = packing.encoder_for(packing.TOKENIZER)
+    words = ["Bonjour", "l", "été", "Straße", "ΑΒΓ", "ΣΑΣ", "İstanbul", "éte", "日本", "ﬁn", "ªº", "٣x", "ǅ", "K"]
+    whole = [encoder.tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+    class Unused:
+        def __getattr__(self, name):
+            raise AssertionError("a pattern was tried")
+
+    monkeypatch.setattr(packing, "PIECES_OF", Unused())
+    monkeypatch.setattr(packing, "EDGES", Unused())
+    for word, ids in zip(words, whole):
+        if word.isalpha():
+            assert encoder.by_pieces(word) in (ids, None), word
+    assert encoder.by_pieces("Bonjour") == whole[0] and encoder.by_pieces("été") == whole[2]
+
+
+def test_word_tables_grow_without_copies_of_all(monkeypatch):
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER))
+    words = [f"word{i}" for i in range(300)]
+    first = encoder.encode(words)
+    encoder.encode(["one more"])
+    flat = encoder.flat
+    assert len(flat) > encoder.filled
+    encoder.encode(["another"])
+    assert encoder.flat is flat  # it was written anew for every batch
+    again = encoder.encode(words)
+    assert all((a == b).all() for a, b in zip(first, again))
+    # Words that could not be tokenised are not taken for known ones later.
+    monkeypatch.setattr(encoder, "by_pieces", lambda word: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        encoder.encode(["fresh"])
+    monkeypatch.undo()
+    assert list(encoder.encode(["fresh"])[0]) == encoder.tokenizer.encode("fresh", add_special_tokens=False).ids
