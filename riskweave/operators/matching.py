@@ -81,12 +81,14 @@ class GuardedRules:
             for word in group
         ) + ")"
 
-    def _test(self, name: str, i: int, text: str, folded: str, found: str) -> str:
+    def _guards(self, name: str, i: int, folded: str, found: str) -> list[str]:
         groups = self._groups[name][i]
         known = [g for g in groups if all(word in self._slot for word in g)]
         rest = [g for g in groups if g not in known]
-        guards = [self._any(group, folded, found) for group in known + rest]
-        return " AND ".join([*guards, f"rlike({text}, {sql_text(self._tests[name][i])})"])
+        return [self._any(group, folded, found) for group in known + rest]
+
+    def _test(self, name: str, i: int, text: str, folded: str, found: str) -> str:
+        return " AND ".join([*self._guards(name, i, folded, found), f"rlike({text}, {sql_text(self._tests[name][i])})"])
 
     def _skip(self, name: str, found: str) -> str:
         """The condition under which no rule of the section can match."""
@@ -105,6 +107,25 @@ class GuardedRules:
         return F.expr(f"CASE WHEN {self._skip(name, found)} THEN cast(array() as array<int>) "
                       f"ELSE array_compact(array({', '.join(tests)})) END")
 
+    def may_hit(self, name: str, at: list[int], folded: str, found: str) -> Column:
+        """Whether the literals of one of the rules at the given places (from 0) are there."""
+        guards = [" AND ".join(self._guards(name, i, folded, found)) or "true" for i in at]
+        return F.expr(f"CASE WHEN {self._skip(name, found)} THEN false ELSE {' OR '.join(f'({x})' for x in guards) or 'false'} END")
+
+    def first_of(self, name: str, open_if: dict[int, str], text: str, folded: str, found: str) -> Column:
+        """Position (from 1) of the first rule that matches among those given (from 0), each under its SQL condition;
+        later rules are not tried."""
+        tests = [f"WHEN {condition} AND {self._test(name, i, text, folded, found)} THEN {i + 1}" for i, condition in sorted(open_if.items())]
+        return F.expr(f"get(array_compact(array(CASE WHEN {self._skip(name, found)} THEN NULL {' '.join(tests)} END)), 0)")
+
+    def hits_of(self, name: str, open_if: dict[int, str], text: str, folded: str, found: str, last: str) -> Column:
+        """Like `hits`, for the rules given (from 0), each under its SQL condition and only before position ``last``,
+        which ends the list; all rules if it is NULL."""
+        tests = [f"CASE WHEN {condition} AND ({last} IS NULL OR {last} > {i + 1}) AND {self._test(name, i, text, folded, found)} THEN {i + 1} END"
+                 for i, condition in sorted(open_if.items())]
+        return F.expr(f"CASE WHEN {self._skip(name, found)} THEN cast(array() as array<int>) "
+                      f"ELSE array_compact(array({', '.join([*tests, last])})) END")
+
     def first(self, name: str, values: list[str], text: str, folded: str, found: str) -> Column:
         """The value of the first rule that matches; later rules are not tried."""
         tests = [f"WHEN {self._test(name, i, text, folded, found)} THEN {sql_text(value)}"
