@@ -7,12 +7,15 @@ weights that a gate selects (how often the longest context was seen, and where i
 result is refined by an adaptive probability map. The sum over all decisions is the text's probability.
 
 Counts come from all training documents: tokens with the kind of token before them are counted in tasks and summed by
-Spark. Tokens are spelled into nodes (a prefix and the byte after it); a table of all nodes, keyed by the full hash of
-the prefix, and a table of all short contexts hold the counts, so both grow with the corpus and nothing shares a slot.
-The mixing weights and the map are learned from all training tokens: in each of `PASSES` passes over the nodes, tasks
+Spark. Tokens are spelled into nodes (a prefix and the byte after it). The tokens lie in order, cut into blocks, so all
+tokens that go on from a prefix lie in one block and a task counts them there; only prefixes of a block's first or last
+token may go on in other blocks, and these alone are summed by Spark. Prefixes that behave alike (the same last three
+bytes, place and counts of the bytes after them) are one row of a table of contexts with the number of its copies, and a
+table holds the short contexts; so all counts grow with the corpus and nothing shares a slot.
+The mixing weights and the map are learned from all training tokens: in each of `PASSES` passes over the contexts, tasks
 add up gradients and second derivatives of each gate, each node as often as its token stood there, and the weights take
 a Newton step. Each decision's own count is taken off first, so that rare contexts are weighted as they will be for new
-text. Every distinct token is scored once, in Spark, and joined to the texts.
+text. Every distinct token is scored once, in its block, and joined to the texts.
 
 The plain unigram score goes by the exact counts of all tokens. Counts and scores of the `HEAD` most frequent tokens
 are broadcast; all others are joined by Spark from the complete table, so no count is left out.
@@ -44,6 +47,8 @@ KINDS = 4  # of the token before: none, end of a sentence, a comma or the like,
 PREDICTORS = 5
 GATES = 8 * 4
 BATCH_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+SHORT_ROWS = 300_000  # so many short contexts are sent to the tasks; more are joined
 _KIND = np.full(256, 3, np.int64)
 _KIND[[ord(x) for x in ".!?"]] = 1
 _KIND[[ord(x) for x in ",;:"]] = 2
@@ -186,90 +191,279 @@ def _spelled(tokens: list[bytes]) -> tuple[np.ndarray, ...]:
     return of, prefix_hashes(data, first).view(np.int64), three, np.minimum(7, place), data.astype(np.int64)
 
 
-def _nodes(words: DataFrame) -> DataFrame:
-    """Rows own, three, place, byte (a node), n0 to n3 (how often learned)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            of, own, three, place, byte = _spelled(batch.column(0).to_pylist())
-            order = np.lexsort((byte, own))
-            new = np.flatnonzero(np.concatenate([[True], (own[order][1:] != own[order][:-1]) | (byte[order][1:] != byte[order][:-1])]))
-            at = order[new]
-            n = [np.add.reduceat(batch.column(1 + k).to_numpy()[of][order], new) for k in range(KINDS)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), pa.array(three[at].astype(np.int32)), pa.array(place[at].astype(np.int32)), pa.array(byte[at].astype(np.int32)), *map(pa.array, n)],
-                names=["own", "three", "place", "byte", "n0", "n1", "n2", "n3"])
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    rows = batch.column(name)
+    return np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy())), rows.flatten()
 
-    found = words.select("token", "n0", "n1", "n2", "n3").mapInArrow(run, "own long, three int, place int, byte int, n0 long, n1 long, n2 long, n3 long")
-    return found.groupBy("own", "three", "place", "byte").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS)))
+
+def _floats(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = False
+        for key in keys:
+            out[1:] |= key[1:] != key[:-1]
+    return out
 
 
 def _paths(group: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How often each group goes on with the first 0, 1, .. 8 bits of the byte, for each row."""
-    out = np.empty((len(byte), 9))
+    """How often each group goes on with the first 0, 1, .. 8 bits of the byte, for each row of sorted groups and bytes; of
+    each row of `n` [_, row] as [_, bits, row]."""
+    out = np.empty((len(n), 9, len(byte)))
+    key = group * 256 + byte
     for k in range(9):
-        key = (group << k) + (byte >> (8 - k))
-        out[:, k] = np.bincount(key, weights=n)[key]
+        new = _new(key >> (8 - k))
+        out[:, k] = np.add.reduceat(n, np.flatnonzero(new), axis=1)[:, np.cumsum(new) - 1] if len(key) else 0
     return out
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
-    rows = batch.column(name)
-    return np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy())), rows.flatten()
+def _far(group: np.ndarray, byte: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Paths of the whole prefix, then of the prefix after each kind."""
+    return _paths(group, byte, np.concatenate([n.sum(axis=0, keepdims=True), n]).astype(float))
 
 
-def _floats(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))
+class Trie:
+    """The nodes of a block's tokens: own (hash of the prefix), three, place, byte, n [kind, node], sorted by own and
+    byte; `node` gives each byte's node, `of` its token. `more` are nodes of prefixes that go on in other blocks, with
+    their counts from all blocks, which stand for the block's own."""
+
+    def __init__(self, tokens: list[bytes], n: np.ndarray, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.of, own, three, place, byte = _spelled(tokens)
+        self.edge = np.unique(own[(self.of == 0) | (self.of == len(tokens) - 1)])
+        each = n[:, self.of]
+        if more is not None:
+            each = np.where(np.isin(own, more[0]), 0, each)
+            own, byte, each = np.concatenate([own, more[0]]), np.concatenate([byte, more[1]]), np.concatenate([each, more[2]], axis=1)
+            none = np.zeros(len(more[0]), np.int64)
+            three, place = np.concatenate([three, none]), np.concatenate([place, none])
+        order = np.lexsort((byte, own))
+        own, byte = own[order], byte[order]
+        fresh = _new(own)
+        new = fresh | _new(byte)
+        first = np.flatnonzero(new)
+        self.node = np.empty(len(order), np.int64)
+        self.node[order] = np.cumsum(new) - 1
+        self.node = self.node[: len(self.of)]
+        at = order[first]  # the block's own byte, where there is one
+        self.own, self.byte, self.three, self.place = own[first], byte[first], three[at], place[at]
+        self.n = np.add.reduceat(each[:, order], first, axis=1)
+        self.context = np.cumsum(fresh[first]) - 1
+        self.single = np.bincount(self.context)[self.context] == 1
+
+    def alike(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the nodes that alone follow their prefix: one of each three, place, byte and counts, which one each node is
+        like, how many are like it."""
+        at = np.flatnonzero(self.single)
+        key = mixed(((self.three[at] * 8 + self.place[at]) * 256 + self.byte[at]).astype(np.uint64))
+        for n in self.n[:, at]:
+            key = mixed(key + n.astype(np.uint64))
+        _, first, like, copies = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        return at[first], like, copies
+
+
+_CHILD = "byte int, n0 long, n1 long, n2 long, n3 long"
+
+
+def _children(byte: np.ndarray, n: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(byte.astype(np.int32)), *map(pa.array, n.astype(np.int64))], names=["byte", "n0", "n1", "n2", "n3"])
 
 
-def _short_contexts(nodes: DataFrame) -> DataFrame:
-    """Rows three, byte, near: the paths of the last one, two and three bytes."""
+def _counts(rows: pa.StructArray) -> np.ndarray:
+    return np.stack([rows.field(f"n{k}").to_numpy() for k in range(KINDS)])
+
+
+def _blocks(words: DataFrame) -> DataFrame:
+    """Rows id, token, n0 to n3: the tokens in order, as lists of some `BLOCK_BYTES` bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def block() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            columns = [pa.array([name])] + [pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), x.combine_chunks()) for x in whole.columns]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "token", "n0", "n1", "n2", "n3"])
+
+        for batch in batches:
+            ends = np.cumsum(np.fromiter(map(len, batch.column(0).to_pylist()), np.int64, len(batch)) + 1)
+            at = 0
+            while at < len(batch):
+                taken = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES - size, "right")))
+                held.append(batch.slice(at, taken - at))
+                size += int(ends[taken - 1] - (ends[at - 1] if at else 0))
+                at = taken
+                if size >= BLOCK_BYTES or at < len(batch):
+                    yield block()
+                    name, held, size = name + 1, [], 0
+        if held:
+            yield block()
+
+    ordered = words.select("token", *(f"n{k}" for k in range(KINDS))).repartitionByRange("token").sortWithinPartitions("token")
+    return ordered.mapInArrow(run, "id long, token array<binary>, n0 array<long>, n1 array<long>, n2 array<long>, n3 array<long>")
+
+
+def _tokens(batch: pa.RecordBatch, row: int) -> tuple[list[bytes], np.ndarray]:
+    return batch.column("token")[row].as_py(), np.stack([batch.column(f"n{k}")[row].values.to_numpy() for k in range(KINDS)])
+
+
+def _edges(blocks: DataFrame) -> DataFrame:
+    """The nodes of prefixes that may go on in another block: id, own, three, place, byte, n0 to n3."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                t = Trie(*_tokens(batch, row))
+                at = np.flatnonzero(np.isin(t.own, t.edge))
+                columns = [pa.array(np.full(len(at), batch.column("id")[row].as_py())), pa.array(t.own[at])]
+                columns += [pa.array(x[at].astype(np.int32)) for x in (t.three, t.place, t.byte)] + [pa.array(x) for x in t.n[:, at]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "own", "three", "place", "byte", "n0", "n1", "n2", "n3"])
+
+    return blocks.mapInArrow(run, f"id long, own long, three int, place int, {_CHILD}")
+
+
+def _inner(blocks: DataFrame) -> DataFrame:
+    """The contexts that lie within a block: three, place, copies, each (the bytes after it with their counts). Alike ones
+    with a single byte are one row of a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                t = Trie(*_tokens(batch, row))
+                inside = ~np.isin(t.own, t.edge)
+                t.single &= inside
+                one, _, copies = t.alike()
+                many = np.flatnonzero(inside & ~t.single)
+                new = np.flatnonzero(_new(t.context[many]))
+                at, first = np.concatenate([one, many]), np.concatenate([one, many[new]])
+                starts = np.concatenate([np.arange(len(one)), len(one) + new, [len(at)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t.three[first].astype(np.int32)), pa.array(t.place[first].astype(np.int32)),
+                     pa.array(np.concatenate([copies, np.ones(len(new), np.int64)])),
+                     pa.ListArray.from_arrays(pa.array(starts, pa.int32()), _children(t.byte[at], t.n[:, at]))],
+                    names=["three", "place", "copies", "each"])
+
+    return blocks.mapInArrow(run, f"three int, place int, copies long, each array<struct<{_CHILD.replace(' ', ': ').replace(',: ', ', ')}>>")
+
+
+def _short_contexts(each: DataFrame) -> DataFrame:
+    """Rows three, byte, near: the paths of the last one, two and three bytes; from rows three, byte, n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 of, each = _lists(batch, "each")
                 byte = each.field("byte").to_numpy()
-                near = _paths(of, byte.astype(np.int64), each.field("n").to_numpy())
+                order = np.lexsort((byte, of))
+                of, byte = of[order], byte[order]
+                near = _paths(of, byte.astype(np.int64), each.field("n").to_numpy()[None, order].astype(float))[0].T
                 yield pa.RecordBatch.from_arrays([batch.column("ctx").take(pa.array(of)), pa.array(byte), _floats(near)], names=["ctx", "byte", "near"])
 
     def paths(df: DataFrame, name: str) -> DataFrame:
         listed = df.groupBy("ctx", "byte").agg(F.sum("n").alias("n")).groupBy("ctx").agg(F.collect_list(F.struct("byte", "n")).alias("each"))
         return listed.mapInArrow(run, "ctx int, byte int, near array<float>").withColumnsRenamed({"ctx": name, "near": f"_{name}"})
 
-    each = c.materialise(nodes.groupBy(F.col("three").alias("ctx"), "byte").agg(F.sum(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).alias("n")))
+    each = each.withColumnRenamed("three", "ctx")
     last = {name: paths(each.withColumn("ctx", F.floor(F.col("ctx") / over).cast("int")), name) for name, over in (("one", 257 * 257), ("two", 257), ("three", 1))}
     both = last["three"].withColumn("one", F.floor(F.col("three") / (257 * 257)).cast("int")).withColumn("two", F.floor(F.col("three") / 257).cast("int"))
     return both.join(last["two"], ["two", "byte"]).join(last["one"], ["one", "byte"]).select("three", "byte", F.concat("_one", "_two", "_three").alias("near"))
 
 
+class Contexts:
+    """The counts of all contexts of a vocabulary: `blocks` of tokens with the nodes that go on elsewhere, `contexts` (three,
+    place, copies, each), and the short contexts, sent to the tasks as `near` or else listed in each row's column near."""
+
+    def __init__(self, words: DataFrame, short_rows: int = SHORT_ROWS):
+        blocks = c.materialise(_blocks(words))
+        edges = c.materialise(_edges(blocks))
+        counts = [f"n{k}" for k in range(KINDS)]
+        merged = c.materialise(edges.groupBy("own", "three", "place", "byte").agg(*(F.sum(n).alias(n) for n in counts)))
+        child = F.struct("byte", *counts)
+        spread = merged.groupBy("own", "three", "place").agg(F.collect_list(child).alias("each")).select("three", "place", F.lit(1).cast("long").alias("copies"), "each")
+        alike = _inner(blocks).unionByName(spread).groupBy("three", "place", "each").agg(F.sum("copies").alias("copies"))
+        contexts = c.materialise(alike.withColumn("id", F.monotonically_increasing_id()))
+        more = edges.select("id", "own").distinct().join(merged.select("own", child.alias("child")), "own")
+        more = more.groupBy("id").agg(F.collect_list(F.struct("own", "child.*")).alias("more"))
+        blocks = c.materialise(blocks.join(more, "id"))
+        self.places = contexts.select("id", "three", F.explode("each").alias("x"), "copies")
+        n = F.col("copies") * sum((F.col(f"x.{n}") for n in counts), F.lit(0))
+        short = c.materialise(_short_contexts(c.materialise(self.places.groupBy("three", "x.byte").agg(F.sum(n).alias("n")))))
+        self.near = None
+        if short.count() <= short_rows:
+            self.blocks, self.contexts = blocks, contexts
+            rows = short.toArrow().combine_chunks()
+            key = rows["three"].to_numpy().astype(np.int64) * 256 + rows["byte"].to_numpy()
+            order = np.argsort(key)
+            flat = np.concatenate([x.flatten().to_numpy() for x in rows["near"].chunks]) if len(rows) else np.empty(0, np.float32)
+            self.near = words.sparkSession.sparkContext.broadcast((key[order], flat.reshape(len(rows), 27)[order]))
+        else:
+            self.contexts = self._listed(contexts, self.places.select("id", "three", "x.byte").distinct(), short)
+            self.blocks = self._listed(blocks, blocks.mapInArrow(_pairs, "id long, three int, byte int"), short)
+
+    @staticmethod
+    def _listed(rows: DataFrame, pairs: DataFrame, short: DataFrame) -> DataFrame:
+        listed = pairs.join(short, ["three", "byte"]).groupBy("id").agg(F.collect_list(F.struct("three", "byte", "near")).alias("near"))
+        return c.materialise(rows.join(listed, "id"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The three last bytes and the byte after them that a block's tokens have."""
+    for batch in batches:
+        for row in range(len(batch)):
+            _, _, three, _, byte = _spelled(batch.column("token")[row].as_py())
+            both = np.unique(three * 256 + byte)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(both), batch.column("id")[row].as_py())), pa.array((both // 256).astype(np.int32)), pa.array((both % 256).astype(np.int32))],
+                names=["id", "three", "byte"])
+
+
+def _near(batch: pa.RecordBatch, near, row: np.ndarray, three: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The paths of the last one, two and three bytes [predictor, bits, row], from those sent or those in the batch."""
+    wanted = three.astype(np.int64) * 256 + byte
+    if near is not None:
+        key, paths = near.value
+    else:
+        of, each = _lists(batch, "near")
+        key = (of.astype(np.int64) << 33) + each.field("three").to_numpy().astype(np.int64) * 256 + each.field("byte").to_numpy()
+        order = np.argsort(key)
+        key, paths = key[order], each.field("near").flatten().to_numpy().reshape(len(key), 27)[order]
+        wanted = wanted + (row.astype(np.int64) << 33)
+    return paths[np.searchsorted(key, wanted)].T.astype(float).reshape(3, 9, len(wanted))
+
+
+def _read(batch: pa.RecordBatch, near) -> tuple[np.ndarray, ...]:
+    """byte, place, copies, n [kind, row], near [predictor, bits, row], far [own or kind, bits, row] of a batch of contexts."""
+    if "far" in batch.schema.names:
+        size = len(batch)
+        n, near, far = (batch.column(x).flatten().to_numpy().reshape(size, *shape).T.astype(float) for x, shape in (("n", (KINDS,)), ("near", (27,)), ("far", (45,))))
+        byte, place = (batch.column(x).to_numpy().astype(np.int64) for x in ("byte", "place"))
+        return byte, place, np.ones(size, np.int64), n, near.reshape(3, 9, size), far.reshape(5, 9, size)
+    of, each = _lists(batch, "each")
+    order = np.lexsort((each.field("byte").to_numpy(), of))
+    of, byte, n = of[order], each.field("byte").to_numpy()[order].astype(np.int64), _counts(each)[:, order].astype(float)
+    three, place, copies = (batch.column(x).to_numpy()[of].astype(np.int64) for x in ("three", "place", "copies"))
+    return byte, place, copies, n, _near(batch, near, of, three, byte), _far(of, byte, n)
+
+
 def count_contexts(words: DataFrame) -> DataFrame:
-    """All nodes with the counts of all their contexts: own, byte, place, n (learned, by kind), near (paths of the last
-    one, two and three bytes), far (paths of the whole prefix, then of the prefix after each kind)."""
-    nodes = c.materialise(_nodes(words))
+    """All nodes with the counts of all their contexts: byte, place, n (learned, by kind), near (paths of the last one, two
+    and three bytes), far (paths of the whole prefix, then of the prefix after each kind). `Contexts` in full width."""
+    found = Contexts(words)
+    near = found.near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                of, each = _lists(batch, "each")
-                byte = each.field("byte").to_numpy()
-                n = np.stack([each.field(f"n{k}").to_numpy() for k in range(KINDS)], axis=1)
-                far = [_paths(of, byte.astype(np.int64), x) for x in (n.sum(axis=1), *n.T)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(name).take(pa.array(of)) for name in ("own", "three", "place")), pa.array(byte), _floats(n), _floats(np.concatenate(far, axis=1))],
-                    names=["own", "three", "place", "byte", "n", "far"])
-
-    listed = nodes.groupBy("own", "three", "place").agg(F.collect_list(F.struct("byte", "n0", "n1", "n2", "n3")).alias("each"))
-    counted = listed.mapInArrow(run, "own long, three int, place int, byte int, n array<float>, far array<float>")
-    short = c.materialise(_short_contexts(nodes))
-    return c.materialise(counted.join(c.sized(short, 100_000), ["three", "byte"]).drop("three"))
-
+                byte, place, copies, n, paths, far = _read(batch, near)
+                for first in range(0, len(byte), 10_000):
+                    at = np.repeat(np.arange(first, min(len(byte), first + 10_000)), copies[first : first + 10_000])
+                    for part in range(0, len(at), 10_000):
+                        i = at[part : part + 10_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(byte[i].astype(np.int32)), pa.array(place[i].astype(np.int32)), _floats(n[:, i].T), _floats(paths[:, :, i].reshape(27, -1).T), _floats(far[:, :, i].reshape(45, -1).T)],
+                            names=["byte", "place", "n", "near", "far"])
 
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """byte, place, n [kind, row], near [predictor, bits, row], far [own or kind, bits, row] of a batch of nodes."""
-    size = len(batch)
-    n, near, far = (batch.column(x).flatten().to_numpy().reshape(size, *shape).T.astype(float) for x, shape in (("n", (KINDS,)), ("near", (27,)), ("far", (45,))))
-    return batch.column("byte").to_numpy().astype(np.int64), batch.column("place").to_numpy().astype(np.int64), n, near.reshape(3, 9, size), far.reshape(5, 9, size)
+    return found.contexts.mapInArrow(run, "byte int, place int, n array<float>, near array<float>, far array<float>")
 
 
 def _toward(all_: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -285,7 +479,7 @@ def _cell(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.minimum(7, place) * Mixer.CELLS + np.rint((np.clip(x, -8, 8) + 8) * 2).astype(np.int64)
 
 
-def _sums(nodes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+def _sums(nodes: DataFrame, weights: np.ndarray, near_=None) -> tuple[np.ndarray, ...]:
     """Gradient and second derivatives by gate, the loss, and how often each cell of the map was met and with a 1."""
     pairs = [(i, j) for i in range(PREDICTORS) for j in range(i + 1)]
     sizes = [GATES * PREDICTORS, GATES * len(pairs), 1, 8 * Mixer.CELLS, 8 * Mixer.CELLS]
@@ -296,11 +490,11 @@ def _sums(nodes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, ...]:
         for batch in batches:
             if not len(batch):
                 continue
-            byte, place, n, near, far = _read(batch)
+            byte, place, copies, n, near, far = _read(batch, near_)
             kind, row = np.nonzero(n)
             if not len(row):
                 continue
-            times, byte, place = n[kind, row], byte[row], place[row]
+            times, byte, place = n[kind, row] * copies[row], byte[row], place[row]
             paths = np.concatenate([near[:, :, row], far[0][None, :, row], far[1 + kind, :, row].T[None]]) - 1  # the own count is off
             for k in range(8):
                 x = _toward(np.maximum(paths[:, k], 0), np.maximum(paths[:, k + 1], 0))
@@ -332,15 +526,16 @@ def _sums(nodes: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Mixture:
-    """Weights by gate and the map, learned from all nodes."""
+    """Weights by gate and the map, learned from all contexts (or from nodes, as `count_contexts` gives them)."""
 
-    def __init__(self, words: DataFrame, nodes: DataFrame):
+    def __init__(self, words: DataFrame, nodes: Contexts | DataFrame):
         self.words, self.nodes = words, nodes
+        rows, near = (nodes.contexts, nodes.near) if isinstance(nodes, Contexts) else (nodes, None)
         self.weights, self.loss, self.losses = np.full((GATES, PREDICTORS), 0.3), math.inf, []
         plain = np.tile(_logistic(np.linspace(-8, 8, Mixer.CELLS)), 8)
         tried = self.weights
         for _ in range(PASSES):
-            slope, square, loss, met, ones = _sums(nodes, tried)
+            slope, square, loss, met, ones = _sums(rows, tried, near)
             self.losses.append(loss)
             if loss < self.loss:
                 self.weights, self.loss, self.map = tried, loss, (ones + 2 * plain) / (met + 2)
@@ -349,36 +544,53 @@ class Mixture:
                 step = step / 4
             tried = self.weights + np.clip(step, -1, 1)
 
-    def log10(self, words: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Rows token, p0 to p3: the log10 probability of each token after each kind of token."""
-        weights, refined = self.weights, self.map
+    def log10(self, nodes: Contexts) -> DataFrame:
+        """Rows token, p0 to p3: the log10 probability of each token of the blocks after each kind of token."""
+        weights, refined, near_ = self.weights, self.map, nodes.near
+
+        def judged(byte, place, near, far) -> np.ndarray:
+            out = np.zeros((KINDS, len(byte)))
+            after = [np.flatnonzero(x) for x in far[1:, 0]]  # after other kinds the last predictor knows nothing and adds 0
+
+            def log(x, bit, place):
+                later = refined[_cell(np.where(bit == 1, x, -x), place)]
+                return np.log10(np.clip((_logistic(x) + np.where(bit == 1, later, 1 - later)) / 2, 1e-7, 1 - 1e-7))
+
+            for k in range(8):
+                bit = (byte >> (7 - k)) & 1
+                own = weights[_gate(far[0, k], place)].T
+                base = (own[:3] * _toward(near[:, k], near[:, k + 1])).sum(axis=0) + own[3] * _toward(far[0, k], far[0, k + 1])
+                plain = log(base, bit, place)
+                for kind, at in enumerate(after):
+                    part = plain.copy()
+                    part[at] = log(base[at] + own[4, at] * _toward(far[1 + kind, k, at], far[1 + kind, k + 1, at]), bit[at], place[at])
+                    out[kind] += part
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                byte, place, _, near, far = _read(batch)
-                out = np.zeros((KINDS, len(byte)))
-                for k in range(8):
-                    bit = (byte >> (7 - k)) & 1
-                    own = weights[_gate(far[0, k], place)].T
-                    base = (own[:3] * _toward(near[:, k], near[:, k + 1])).sum(axis=0) + own[3] * _toward(far[0, k], far[0, k + 1])
-                    for kind in range(KINDS):
-                        x = base + own[4] * _toward(far[1 + kind, k], far[1 + kind, k + 1])
-                        later = refined[_cell(np.where(bit == 1, x, -x), place)]
-                        out[kind] += np.log10(np.clip((_logistic(x) + np.where(bit == 1, later, 1 - later)) / 2, 1e-7, 1 - 1e-7))
-                yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("byte"), *map(pa.array, out)], names=["own", "byte", "p0", "p1", "p2", "p3"])
-
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    of, own, _, _, byte = _spelled(batch.column(1).to_pylist())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(own), pa.array(byte.astype(np.int32))], names=["id", "own", "byte"])
-
-        judged = nodes.mapInArrow(run, "own long, byte int, p0 double, p1 double, p2 double, p3 double")
-        steps = words.select(F.xxhash64("token").alias("id"), "token").mapInArrow(spell, "id long, own long, byte int")
-        sums = steps.join(judged, ["own", "byte"]).groupBy("id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(KINDS)))
-        return words.select("token", F.xxhash64("token").alias("id")).join(sums, "id").drop("id")
+                for row in range(len(batch)):
+                    tokens, n = _tokens(batch, row)
+                    more = batch.column("more")[row].values
+                    t = Trie(tokens, n, (more.field("own").to_numpy(), more.field("byte").to_numpy().astype(np.int64), _counts(more)))
+                    wanted = np.zeros(len(t.own), bool)
+                    wanted[t.node] = True
+                    far = _far(t.context, t.byte, t.n)
+                    t.single &= wanted  # a prefix's only byte is one of the block's
+                    one, like, _ = t.alike()
+                    many = np.flatnonzero(wanted & ~t.single)
+                    at = np.concatenate([one, many])
+                    place_of = np.zeros(len(t.own), np.int64)
+                    place_of[t.single], place_of[many] = like, len(one) + np.arange(len(many))
+                    out = np.empty((KINDS, len(at)))
+                    for first in range(0, len(at), 10_000):
+                        i = at[first : first + 10_000]
+                        near = _near(batch, near_, np.full(len(i), row), t.three[i], t.byte[i])
+                        out[:, first : first + 10_000] = judged(t.byte[i], t.place[i], near, far[:, :, i])
+                    found = [np.bincount(t.of, weights=x[place_of[t.node]], minlength=len(tokens)) for x in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *map(pa.array, found)], names=["token", "p0", "p1", "p2", "p3"])
+
+        return nodes.blocks.mapInArrow(run, "token binary, p0 double, p1 double, p2 double, p3 double")
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -477,7 +689,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     whole = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head = tokens.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
     words = c.materialise(vocabulary(counts.unionByName(_unlearned(own.where(~learned(F.col("doc_id")))))))
-    mixer = Mixture(words, count_contexts(words))
+    mixer = Mixture(words, Contexts(words))
     return Model(mixer, dict(zip(head["token"].to_pylist(), head["c"].to_pylist())), whole["n"], whole["v"]), tokens
 
 
@@ -491,8 +703,8 @@ def score(docs: DataFrame, model: Model, tokens: DataFrame, doc_id: str = "doc_i
     if not spelled:
         more = _unlearned(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))).select("token", *(F.col("n").alias(f"n{k}") for k in range(KINDS)))
         words = c.materialise(words.unionByName(more).groupBy("token").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS))))
-        nodes = count_contexts(words)
-    judged = c.materialise(model.mixer.log10(words, nodes).join(tokens, "token", "left").select(
+        nodes = Contexts(words)
+    judged = c.materialise(model.mixer.log10(nodes).join(tokens, "token", "left").select(
         "token", F.coalesce("c", F.lit(0)).alias("c"), F.array(*(f"p{k}" for k in range(KINDS))).alias("p")))
     wanted = docs.sparkSession.createDataFrame(pa.table({"token": pa.array(list(model.head), pa.binary())}))
     found = judged.join(F.broadcast(wanted), "token").select("token", *(F.get("p", F.lit(k)).alias(f"p{k}") for k in range(KINDS))).toArrow()
